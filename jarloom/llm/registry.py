@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lattice, mixing, packing
+from . import chat, decontaminate, jaccard, lattice, mixing, neighbours, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_projected_neighbours": neighbours.op1_projected_neighbours,
         "op2_lattice_lm": lattice.op2_lattice_lm,
         "op3_chat_format": chat.op3_chat_format,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_pack_tokens": packing.op7_pack_tokens,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_decontaminate": decontaminate.op9_decontaminate,
