@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lattice, mixing, neighbours, packing, toxicity
+from . import chat, decontaminate, jaccard, lattice, mixing, neighbours, packing, recompress, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_projected_neighbours": neighbours.op1_projected_neighbours,
         "op2_lattice_lm": lattice.op2_lattice_lm,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_recompression": recompress.op4_recompression,
+        "op5_suffix_dedup": suffixes.op5_suffix_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_pack_tokens": packing.op7_pack_tokens,
         "op8_mix_sources": mixing.op8_mix_sources,

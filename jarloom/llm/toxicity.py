@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import time
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, small_batches
 
@@ -288,33 +290,37 @@ SCORERS: dict[int, Scorer] = {}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to doc_id, held_out, score, predicted.
+    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to docs with held_out, score and predicted in place of any columns of these names.
 
     Learns from labelled documents whose crc32 of doc_id as text is not divisible by 5, at most `most_toxic` and `most_clean` of them in the order of a hash. A doc_id
     with several labels is toxic if one says so; null labels and labels of null doc_ids don't count. Scoring is one pass over whole texts without a shuffle; only the
     text is an input of a score. Null and empty texts have no units and get the score of the bias. Without labels of both classes all scores are near 0 (near 1 if all
-    labels are toxic). Every row is scored by itself, also where rows repeat; a null doc_id counts as held out. Other columns of docs are not read.
+    labels are toxic). Every row is scored by itself, also where rows repeat; a null doc_id counts as held out. Empty tables give no rows.
     """
     spark = docs.sparkSession
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0))
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(remainder != 0)
     some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, most_toxic), (0, most_clean))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").filter("text is not null").select("doc_id", "text", "toxic").toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").filter("text is not null").select("doc_id", "text", "toxic").toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     given = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))
     small_batches(spark, 500)
+    number = int(time.time_ns())  # which model a worker remembers tokens' values for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if given.id not in SCORERS if hasattr(given, "id") else True:
+        if number not in SCORERS:
             SCORERS.clear()
-        scorer = SCORERS.setdefault(getattr(given, "id", id(given)), Scorer(given.value))
+            SCORERS[number] = Scorer(given.value)
         for b in batches:
-            score = scorer.model.probability(scorer.best(b.column(2).cast(pa.binary()).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            at = b.schema.get_field_index("text")
+            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+            score = SCORERS[number].model.probability(SCORERS[number].best(texts))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    d = docs.drop("held_out", "score", "predicted").withColumn("held_out", remainder == 0)
+    schema = T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return d.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
