@@ -2,9 +2,62 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from jarloom.llm.common import read, saved
+from jarloom.llm.decontaminate import bounded, decontaminate
+from jarloom.llm.jaccard import jaccard_components
+from jarloom.llm.mixing import mix_sources
+from jarloom.llm.packing import pack_tokens, tokenizer_file, unpacked
+from jarloom.llm.toxicity import toxicity
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these doc_ids (null is an id of its own); the ids are broadcast only if they are few by count."""
+    gone = saved(ids.select(F.col("doc_id").alias("gone")).distinct(), "pipe-gone")
+    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine does not predict to be toxic."""
+    return toxicity(docs, read(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id. Rows that share a doc_id count as copies: the first by text stays."""
+    found = saved(jaccard_components(docs), "pipe-jaccard")
+    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
+    return without_ids(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return without_ids(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("contaminated"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, as rows that repeat. The one at a source's cut is taken whole if half of it or more is inside the budget."""
+    times = mix_sources(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int").alias("times"))
+    times = saved(times, "pipe-times")  # a few bytes a document
+    twice = times.groupBy("doc_id").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("id"), "times")
+    x = docs.join(twice, F.col("doc_id").eqNullSafe(F.col("id"))).filter("times > 0")
+    return x.withColumn("_n", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in packed files, and what reading these back gives for each row."""
+    return unpacked(pack_tokens(docs, tokenizer_file()))
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", drop_contaminated), ("mixing_sources", mixed), ("token_id_output", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipe-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
