@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import back, read, saved, with_keys
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of the text before A-Z are lower-cased
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what is between words, of the text before A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 BROADCAST_ROWS = 300_000
@@ -19,7 +19,7 @@ def lowered(w: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(text, BETWEEN), "")  # many times faster than finding the words by a pattern
 
 
 def bounded(df: DataFrame) -> DataFrame:
