@@ -81,7 +81,7 @@ class Record:
 class Encoder:
     """A tokenizer whose normalizer and pre-tokenizer never look across ASCII white space, so that words can be encoded once each and remembered."""
 
-    MOST = 200_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,34 +96,42 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes], index: dict[bytes, int]) -> None:
+        k = len(self.index)
         for enc, w in zip(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            ids, k = enc.ids, len(self.index)
+            ids = enc.ids
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
             if k >= len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.index[w], self.start[k], self.length[k] = k, self.used, len(ids)
+            index[w], self.start[k], self.length[k] = k, self.used, len(ids)
             self.used += len(ids)
+            k += 1
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, `end` after each, and how many each text has."""
-        if len(self.index) > self.MOST:
-            self.clear()
-        words = [t.split() for t in texts]
+        """All ids of the texts, `end` after each, and how many each text has. Words beyond the bound are encoded again each time."""
+        # the normalizer puts letters in lower case; for ASCII texts that can be done here, but for special tokens' strings
+        words = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
         many = np.fromiter(map(len, words), np.int64, len(words))
         every = [w for ws in words for w in ws]
         got = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        used = None
         if (miss := np.flatnonzero(got < 0)).size:
-            self.learn(list(dict.fromkeys(every[k] for k in miss.tolist())))
-            got[miss] = [self.index[every[k]] for k in miss.tolist()]
+            new = list(dict.fromkeys(every[k] for k in miss.tolist()))
+            more = self.index
+            if len(self.index) + len(new) > self.MOST:
+                more, used = {}, self.used
+            self.learn(new, more)
+            got[miss] = [more[every[k]] for k in miss.tolist()]
         # a word of one id stands for the end of each text
-        first, length = np.insert(self.start[got], np.cumsum(many), -1), np.insert(self.length[got], np.cumsum(many), 1)
+        first, length = np.insert(self.start[got], np.cumsum(many), 0), np.insert(self.length[got], np.cumsum(many), 1)
         before = np.cumsum(length) - length
         ids = self.flat[np.repeat(first - before, length) + np.arange(int(length.sum()))] if len(length) else np.zeros(0, np.uint32)
         ends = np.cumsum(many + 1) - 1
         ids[before[ends]] = end
+        if used is not None:
+            self.used = used
         return ids, np.add.reduceat(length, ends - many) if len(texts) else np.zeros(0, np.int64)
 
 
