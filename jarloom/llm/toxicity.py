@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import read, small_batches
 
-MOST_TOXIC, MOST_CLEAN = 2000, 4000  # labelled documents that are learned from, at most
+MOST_TOXIC, MOST_CLEAN = 1500, 3000  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
 FOLD = 40  # classes of characters
 PIECE = 12  # a longer unit is cut into overlapping pieces of this length
@@ -170,8 +170,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     if not y.any() or y.all():
         model.shift = 50.0 if y.any() else -50.0
         return model
-    sentences = [[u for u in map(units_of, SENTENCE.split(t)) if u] for t in texts]
-    of = [sorted({u for s in x for u in s}) for x in sentences]
+    one: dict = {}  # each unit is held once
+    of = [sorted({one.setdefault(u, u) for s in SENTENCE.split(t) for u in units_of(s)}) for t in texts]
     pos, neg = Counter(u for x, t in zip(of, y, strict=True) if t for u in x), Counter(u for x, t in zip(of, y, strict=True) if not t for u in x)
     np_, nn = int(y.sum()), int((~y).sum())
 
@@ -183,8 +183,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
         return 2 * (term(a, np_, p) + term(b, nn, q) - term(a + b, np_ + nn, r))
 
     grams = lambda u: {u[k : k + ORDER] for k in range(len(u) - ORDER + 1)}
-    gp, gn = (Counter(g for x, t in zip(of, y, strict=True) if t == side for g in set().union(*map(grams, x))) for side in (True, False))
-    stems = {g: r for g in gp if gp[g] >= 3 and (r := ratio(gp[g], gn[g])) >= 15}
+    gp = Counter(g for x, t in zip(of, y, strict=True) if t for g in set().union(*map(grams, x)))
+    often = {g for g in gp if gp[g] >= 3}
+    gn = Counter(g for x, t in zip(of, y, strict=True) if not t for g in set().union(*map(grams, x)) & often)
+    stems = {g: r for g in often if (r := ratio(gp[g], gn[g])) >= 15}
     # units by their own evidence, or by that of the strongest run of ORDER characters in them
     ranked = sorted(((max([ratio(pos[u], neg[u]) if pos[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])]), u) for u in pos), reverse=True)
     good = [u for r, u in ranked if r >= 15][:2500] or [u for _, u in ranked[:10]]
