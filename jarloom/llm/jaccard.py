@@ -107,21 +107,59 @@ def segments(d: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
     return d.join(F.broadcast(reps) if few else reps, ["_d", "_o"]).select("rid", "text").mapInArrow(run, "rid long, n long, part int, seg binary")
 
 
-def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted fragment by fragment and summed, is high enough."""
+def together(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, sa, sb): the fragments of both sets of each pair (a, b) whose sizes allow a link, a row for each fragment that either has."""
+    x = pairs.join(segs.select(F.col("rid").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb")), "b")
+    x = x.join(segs.select(F.col("rid").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa")), ["a", "part"])
+    return x.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
+
+
+def overlaps(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, same): overlaps, counted fragment by fragment and summed for each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(np.intersect1d(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), assume_unique=True)) for x, y in zip(b.column(4), b.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(n, pa.int64())], ["a", "b", "na", "nb", "same"])
 
-    x = pairs.join(segs.select(F.col("rid").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb")), "b")
-    x = x.join(segs.select(F.col("rid").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa")), ["a", "part"])
-    x = x.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
-    sums = x.mapInArrow(run, "a long, b long, na long, nb long, same long").groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
+    x = together(pairs, segs, percent)
+    return x.mapInArrow(run, "a long, b long, na long, nb long, same long").groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
+
+
+def linked(sums: DataFrame, percent: int) -> DataFrame:
     return sums.filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
+def differences(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, elem): of each pair the necessary prefix of the difference of its sets, in the order: first what only b has, then what only a has, each by hash.
+
+    If x and y are linked and at least one of them is not linked with a, then their differences from a have more elements in all than x and y may differ in, so the
+    differences overlap, and each one's prefix of one element more than a set of that size may differ in has an element of the other's (prefix filtering on
+    differences: |x ^ y| = |dx| + |dy| - 2 |dx & dy|).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for x, y, nb, sa, sb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                sa, sb = (np.frombuffer(s.as_py() or b"", U64) for s in (sa, sb))
+                most = (nb + nb * 100 // percent) * (100 - percent) // (100 + percent) + 1
+                for kind, d in enumerate((np.setdiff1d(sb, sa, assume_unique=True), np.setdiff1d(sa, sb, assume_unique=True))):
+                    out += [(x, y, most, kind, e) for e in d[:most].view(np.int64).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "most", "kind", "elem"])
+
+    # a fragment that only one of the two has counts as well
+    left = pairs.join(segs.select(F.col("rid").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb")), "b")
+    right = pairs.join(segs.select(F.col("rid").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa")), "a")
+    sizes = segs.select("rid", "n").distinct()
+    x = left.select("a", "b", "part", "sb").join(right.select("a", "b", "part", "sa"), ["a", "b", "part"], "full")
+    x = x.join(sizes.select(F.col("rid").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", F.lit(0).alias("na"), "nb", "sa", "sb")
+    rows = x.mapInArrow(run, "a long, b long, most long, kind int, elem long")
+    order = W.partitionBy("a", "b").orderBy("kind", F.col("elem"))
+    return rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("most")).select("a", "b", "elem")
+
+
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text, ...) to doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
@@ -129,10 +167,11 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     without words has an empty set and no links; null is empty). Documents with equal sets are one class. The global order of shingles is that of their 64-bit hashes.
 
     1. Fragments of that order give each class keys, at least one of them shared by any two linked classes (signatures()).
-    2. Under each key the other classes are compared with the first one, then, where components still differ, with a neighbour in a random order, twice; at last
-       all pairs under a key that are in different components. Pairs inside a component need no test, so a group of copies costs in proportion to its size.
-    3. A pair's overlap is counted in PARTS fragments separately and summed.
-    Links go to the shared folder, and components() follows them by labels in Spark.
+    2. Under each key the other classes are compared with the first one, the key's centre. A pair's overlap is counted in PARTS fragments separately and summed.
+    3. Two linked classes that are not yet in one component share a key, so both were compared with its centre, and their differences from it share an element of short
+       prefixes (differences()). Under each (centre, element) the others are compared with the first, then all that are still in different components with each other.
+    Pairs inside a component need no test, so a group of copies costs in proportion to its size, and copies that have drifted apart are not all compared. Links go to
+    the shared folder, and components() follows them by labels in Spark.
 
     Rows that share a doc_id are documents of their own with that id. A null doc_id comes before all others and is returned as null. Empty tables give no rows.
     """
@@ -153,24 +192,33 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     size = classes.select("rid", "n")
     least = W.partitionBy("key").orderBy("rid")
     star = groups.withColumn("a", F.first("rid").over(least)).filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-    tested = saved(star, "jac-pairs")
-    links = saved(verified(tested, segs, percent), "jac-links")
-    for turn in (1, 2, 3):
+    tested = star = saved(star, "jac-star")
+    links = saved(linked(overlaps(star, segs, percent), percent), "jac-links")
+
+    def placed(x: DataFrame, of: str, name: str) -> DataFrame:
         comps = components(links, "jac-comp")
-        now = groups.join(comps.select(F.col("id").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).join(size, "rid")
-        many = W.partitionBy("key")
-        now = saved(now.withColumns({"lo": F.min("comp").over(many), "hi": F.max("comp").over(many)}).filter("lo <> hi").drop("lo", "hi"), "jac-open")
-        if turn < 3:
-            order = W.partitionBy("key").orderBy(F.xxhash64("rid", F.lit(turn)), "rid")
-            pairs = now.withColumns({"o": F.lag("rid").over(order), "oc": F.lag("comp").over(order)}).filter("oc <> comp").select(F.least("rid", "o").alias("a"), F.greatest("rid", "o").alias("b"))
+        return x.join(comps.select(F.col("id").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+
+    # centres that some member is not linked with, directly or through others
+    apart = placed(placed(star, "a", "ca"), "b", "cb")
+    centres = apart.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("apart"), F.count("*").alias("m")).filter("apart and m > 1").select("a")
+    elems = differences(saved(star.join(centres, "a", "left_semi"), "jac-apart"), segs, percent)
+    elems = elems.join(size.select(F.col("rid").alias("b"), "n"), "b")
+    under = W.partitionBy("a", "elem")
+    elems = saved(elems.withColumn("m", F.count("*").over(under)).filter("m > 1").drop("m"), "jac-elems")
+    for turn in ("first", "all"):
+        now = placed(elems, "b", "cb").withColumns({"lo": F.min("cb").over(under), "hi": F.max("cb").over(under)}).filter("lo <> hi").drop("lo", "hi")
+        if turn == "first":
+            order = under.orderBy("b")
+            pairs = now.withColumns({"x": F.first("b").over(order), "cx": F.first("cb").over(order), "nx": F.first("n").over(order)}).filter("cx <> cb")
         else:
-            y = now.select("key", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = now.join(y, "key").filter(F.expr(f"rid < b and comp <> cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)")).select(F.col("rid").alias("a"), "b")
-        pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "jac-pairs")
-        if pairs.isEmpty():
-            continue
-        links = links.union(saved(verified(pairs, segs, percent), "jac-links"))
-        tested = tested.union(pairs)
+            now = saved(now, "jac-open")
+            pairs = now.join(now.select("a", "elem", F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("n").alias("nx")), ["a", "elem"]).filter("x < b and cx <> cb")
+        pairs = pairs.filter(f"100 * least(n, nx) >= {percent} * greatest(n, nx)").select(F.col("x").alias("a"), "b").distinct()
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "jac-pairs")
+        if not pairs.isEmpty():
+            links = links.union(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
+            tested = tested.union(pairs)
     comps = components(links, "jac-comp")
     # the smallest doc_id of a component, over all documents of its classes
     own = sets.join(classes.select("cid", "c2", "rid"), ["cid", "c2"]).join(comps.select(F.col("id").alias("rid"), "comp"), "rid", "left")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import read, small_batches
 
-MOST_TOXIC, MOST_CLEAN = 1500, 3000  # labelled documents that are learned from, at most
+MOST_TOXIC, MOST_CLEAN = 1500, 4000  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
 FOLD = 40  # classes of characters
 PIECE = 12  # a longer unit is cut into overlapping pieces of this length
