@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from .repeats import Prefix, compared, fetched, run_rows, without
 
 WIDTH, GRAM = 100, 28
 SPLIT_ROWS = 2000  # a key with more rows is cut by a second key
+BLOCK_BYTES = 30_000  # groups of keys are put in order together up to this
 LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -166,50 +166,37 @@ def byte_runs(texts: list[bytes], width: int, gram: int):
     return doc, g[at[first]], first - start[doc], n, prefix.range(first, first + n + width - 1)
 
 
-def earlier(frame: pd.DataFrame, width: int) -> Iterator[tuple[int, int, int, int]]:
-    """Of texts with columns _d, _o, i0, n, text: the stretches (d, o, a, b) covered by windows that also start earlier, by the suffix array of all of them.
+def earlier(rows: list[tuple[int, int, int, int, bytes]], width: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of texts (d, o, i0, n, text): the stretches (d, o, a, b) covered by windows that also start earlier, by the suffix array of all of them.
 
     Windows with equal content are neighbours among the windows' suffixes in order; all of a class but the earliest start are repeats. A character that no text has ends
     each text, and only whole windows are looked at, so matches never cross documents.
     """
-    frame = frame.sort_values(["_d", "_o", "i0"])
-    texts = [bytes(t) for t in frame["text"]]
-    s: list[int] = []
-    valid = []
-    for k, (t, n) in enumerate(zip(texts, frame["n"], strict=True)):
-        s += [c + 1 for c in t]
-        s.append(0)
-        valid += [k] * n + [-1] * (len(t) + 1 - n)
-    joined = b"\0".join(texts) + b"\0"
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)]).tolist()
-    gone: list[int] = []
-    held: list[int] = []
-    window = None
-    for i in suffix_array(s):
-        if valid[i] < 0:
-            continue
-        w = joined[i : i + width]
-        if w == window:
-            held.append(i)
-            continue
-        if len(held) > 1:
-            held.remove(min(held))
-            gone += held
-        held, window = [i], w
-    if len(held) > 1:
-        held.remove(min(held))
-        gone += held
-    d, o, i0 = (frame[c].tolist() for c in ("_d", "_o", "i0"))
-    gone.sort()
-    k = 0
-    while k < len(gone):
-        e = k
-        while e + 1 < len(gone) and gone[e + 1] == gone[e] + 1:
-            e += 1
-        t = valid[gone[k]]
-        a = i0[t] + gone[k] - begin[t]
-        yield d[t], o[t], a, a + e - k + width
-        k = e + 1
+    rows = sorted(rows, key=lambda r: r[:3])
+    s = np.concatenate([np.append(np.frombuffer(r[4], np.uint8).astype(np.int16) + 1, np.int16(0)) for r in rows])
+    length = np.array([len(r[4]) + 1 for r in rows])
+    begin = np.cumsum(length) - length
+    text = np.repeat(np.arange(len(rows)), length)
+    place = np.arange(len(s)) - begin[text]
+    sa = np.array(suffix_array(s.tolist()), np.int64)
+    sa = sa[place[sa] < np.array([r[3] for r in rows])[text[sa]]]  # whole windows
+    # neighbours in order that agree on the width
+    same = np.zeros(len(sa), bool)
+    padded = np.lib.stride_tricks.sliding_window_view(np.append(s, np.zeros(width, np.int16)), width)
+    for a in range(1, len(sa), 20_000):
+        x, y = sa[a - 1 : a + 19_999], sa[a : a + 20_000]
+        same[a : a + 20_000] = (padded[x[: len(y)]] == padded[y]).all(1)
+    cls = np.cumsum(~same)
+    first = np.full(cls[-1] + 1 if len(cls) else 1, len(s))
+    np.minimum.at(first, cls, sa)
+    gone = np.sort(sa[sa != first[cls]])
+    if not len(gone):
+        return
+    cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(text[gone], prepend=-1) != 0))
+    for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(gone)], strict=True):
+        t = int(text[gone[a]])
+        d, o, i0 = rows[t][:3]
+        yield d, o, i0 + int(place[gone[a]]), i0 + int(place[gone[e - 1]]) + width
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -251,26 +238,29 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o int, i0 int, n int, text binary")
     parts = parts.withColumn("bucket", F.xxhash64("key", "sub"))
 
-    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups come sorted; each whole group is put in order as soon as the next one begins."""
-        held: list[pd.DataFrame] = []
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups come sorted; some whole ones are put in order together. Equal windows have equal keys, so what stands beside a group does not matter."""
+        held: list[tuple] = []
+        now, size = None, 0
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame(list(earlier(pd.concat(held), width)), columns=["_d", "_o", "a", "b"])
+        def done() -> pa.RecordBatch:
+            got = list(earlier(held, width))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["_d", "_o", "a", "b"])
 
-        now = None
-        for f in batches:
-            for key, part in f.groupby("bucket", sort=False):
-                if now is not None and key != now:
+        for b in batches:
+            for key, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != now and size > BLOCK_BYTES:
                     yield done()
-                    held = []
+                    held, size = [], 0
                 now = key
-                held.append(part)
+                held.append(tuple(row))
+                size += len(row[-1])
         if held:
             yield done()
 
-    shared = parts.repartition("bucket").sortWithinPartitions("bucket")
-    each = shared.mapInPandas(order, "_d long, _o int, a int, b int")
+    small_batches(docs.sparkSession, 2000)
+    shared = parts.select("bucket", "_d", "_o", "i0", "n", "text").repartition("bucket").sortWithinPartitions("bucket")
+    each = shared.mapInArrow(order, "_d long, _o int, a int, b int")
     gone = x.filter("same and not first").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each)
     gone = saved(gone, "suf-gone")
 
