@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from .common import U64, components, mix, read, saved, small_batches, with_keys,
 
 GRAM, PERCENT = 3, 90
 PARTS = 4  # fragments that a pair's overlap is counted in
+BUCKETS = 256  # of a set's sketch: how many of its shingles fall into each, modulo 256
+BLOCK = 1024  # members of a centre that are compared at once
 BROADCAST_ROWS = 1_000_000
 BOUNDS = [1]
 while BOUNDS[-1] < 2**40:
@@ -90,7 +93,7 @@ def first_pass(d: DataFrame, gram: int, percent: int) -> DataFrame:
 
 
 def segments(d: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
-    """(rid, n, part, seg): the shingle sets of representatives, cut into PARTS fragments of the global order."""
+    """(rid, n, part, seg): the shingle sets of representatives, cut into PARTS fragments of the global order; part -1 is the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,6 +102,7 @@ def segments(d: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
                 rows = []
                 for rid, s in zip(rids[a : a + 128], shingle_sets(texts[a : a + 128], gram), strict=True):
                     cut = np.searchsorted(s >> U64(62), np.arange(PARTS + 1, dtype=U64))
+                    rows.append((rid, len(s), -1, np.bincount((s & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint8).tobytes()))
                     rows += [(rid, len(s), k, s[cut[k] : cut[k + 1]].tobytes()) for k in range(PARTS) if cut[k] < cut[k + 1]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["rid", "n", "part", "seg"])
@@ -130,34 +134,51 @@ def linked(sums: DataFrame, percent: int) -> DataFrame:
     return sums.filter(100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
-def differences(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, elem): of each pair the necessary prefix of the difference of its sets, in the order: first what only b has, then what only a has, each by hash.
+def far_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound on how many elements sets differ in, from their sketches: each such element changes one bucket by one."""
+    d = x - y  # modulo 256
+    return np.minimum(d, -d).sum(-1, dtype=np.int64)
 
-    If x and y are linked and at least one of them is not linked with a, then their differences from a have more elements in all than x and y may differ in, so the
-    differences overlap, and each one's prefix of one element more than a set of that size may differ in has an element of the other's (prefix filtering on
-    differences: |x ^ y| = |dx| + |dy| - 2 |dx & dy|).
-    """
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for x, y, nb, sa, sb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                sa, sb = (np.frombuffer(s.as_py() or b"", U64) for s in (sa, sb))
-                most = (nb + nb * 100 // percent) * (100 - percent) // (100 + percent) + 1
-                for kind, d in enumerate((np.setdiff1d(sb, sa, assume_unique=True), np.setdiff1d(sa, sb, assume_unique=True))):
-                    out += [(x, y, most, kind, e) for e in d[:most].view(np.int64).tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "most", "kind", "elem"])
-
-    # a fragment that only one of the two has counts as well
-    left = pairs.join(segs.select(F.col("rid").alias("b"), F.col("n").alias("nb"), "part", F.col("seg").alias("sb")), "b")
-    right = pairs.join(segs.select(F.col("rid").alias("a"), F.col("n").alias("na"), "part", F.col("seg").alias("sa")), "a")
-    sizes = segs.select("rid", "n").distinct()
-    x = left.select("a", "b", "part", "sb").join(right.select("a", "b", "part", "sa"), ["a", "b", "part"], "full")
-    x = x.join(sizes.select(F.col("rid").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", F.lit(0).alias("na"), "nb", "sa", "sb")
-    rows = x.mapInArrow(run, "a long, b long, most long, kind int, elem long")
-    order = W.partitionBy("a", "b").orderBy("kind", F.col("elem"))
-    return rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("most")).select("a", "b", "elem")
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(far_apart(x, y) <= n * (100 - percent) // (100 + percent))) for c in b.columns[:2]], ["a", "b"])
+
+    x = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("seg").alias("sa")), "a").join(sketches.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("seg").alias("sb")), "b")
+    x = x.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
+    return x.mapInArrow(run, "a long, b long")
+
+
+def members_near(members: DataFrame, percent: int) -> DataFrame:
+    """members (centre, rid, n, comp, home, seg), home being the centre's component: pairs (a, b) of members of a centre that are in different components and that sizes
+    and sketches leave. Members outside the centre's component are compared with all others, in blocks of BLOCK by BLOCK; only pairs that pass are rows.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            xs, ys = (np.frombuffer(b"".join(f["seg"]), np.uint8).reshape(-1, BUCKETS) for f in (left, right))
+            rid, n, comp = (right[c].to_numpy() for c in ("rid", "n", "comp"))
+            for r, m, c, s in zip(left["rid"], left["n"], left["comp"], xs, strict=True):
+                ok = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                ok = ok[far_apart(ys[ok], s) <= (n[ok] + m) * (100 - percent) // (100 + percent)]
+                out += [(min(r, q), max(r, q)) for q in rid[ok].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    out = F.col("comp") != F.col("home")
+    numbered = members.withColumn("block", F.floor((F.row_number().over(W.partitionBy("centre").orderBy((~out).cast("int"), "rid")) - 1) / BLOCK).cast("int"))
+    numbered = saved(numbered.withColumn("outside", out), "jac-members")
+    many = numbered.groupBy("centre").agg(F.max(F.when(F.col("outside"), F.col("block"))).alias("lefts"), F.max("block").alias("rights"))
+    x = numbered.join(many, "centre")
+    left = x.filter("outside").withColumn("other", F.explode(F.expr("sequence(0, rights)"))).select("centre", F.col("block").alias("i"), F.col("other").alias("j"), "rid", "n", "comp", "seg")
+    right = x.withColumn("other", F.explode(F.expr("sequence(0, lefts)"))).select("centre", F.col("other").alias("i"), F.col("block").alias("j"), "rid", "n", "comp", "seg")
+    left, right = left.toDF("c", "i", "j", "rid", "n", "comp", "seg"), right.toDF("c2", "i2", "j2", "rid", "n", "comp", "seg")
+    return left.groupBy("c", "i", "j").cogroup(right.groupBy("c2", "i2", "j2")).applyInPandas(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -168,8 +189,8 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
 
     1. Fragments of that order give each class keys, at least one of them shared by any two linked classes (signatures()).
     2. Under each key the other classes are compared with the first one, the key's centre. A pair's overlap is counted in PARTS fragments separately and summed.
-    3. Two linked classes that are not yet in one component share a key, so both were compared with its centre, and their differences from it share an element of short
-       prefixes (differences()). Under each (centre, element) the others are compared with the first, then all that are still in different components with each other.
+    3. Two linked classes that are not yet in one component share a key, so both are members of its centre. Of a centre's members, those outside its component are held
+       against the others by sketches that bound how much sets differ (members_near()); only pairs that can be linked are formed, and their overlaps are counted.
     Pairs inside a component need no test, so a group of copies costs in proportion to its size, and copies that have drifted apart are not all compared. Links go to
     the shared folder, and components() follows them by labels in Spark.
 
@@ -189,36 +210,22 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     groups = saved(x.filter("key is not null").select("key", "cid").distinct().join(classes.select("cid", "rid"), "cid").select("key", "rid"), "jac-groups")
     need = groups.select("rid").distinct().join(classes.select("rid", "_d", "_o"), "rid")
     segs = saved(segments(d, need, gram), "jac-segments")
-    size = classes.select("rid", "n")
     least = W.partitionBy("key").orderBy("rid")
     star = groups.withColumn("a", F.first("rid").over(least)).filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-    tested = star = saved(star, "jac-star")
-    links = saved(linked(overlaps(star, segs, percent), percent), "jac-links")
+    star = saved(star, "jac-star")
+    sketches, segs = segs.filter("part = -1"), segs.filter("part >= 0")
+    links = saved(linked(overlaps(saved(near_pairs(star, sketches, percent), "jac-near"), segs, percent), percent), "jac-links")
 
     def placed(x: DataFrame, of: str, name: str) -> DataFrame:
-        comps = components(links, "jac-comp")
         return x.join(comps.select(F.col("id").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    # centres that some member is not linked with, directly or through others
-    apart = placed(placed(star, "a", "ca"), "b", "cb")
-    centres = apart.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("apart"), F.count("*").alias("m")).filter("apart and m > 1").select("a")
-    elems = differences(saved(star.join(centres, "a", "left_semi"), "jac-apart"), segs, percent)
-    elems = elems.join(size.select(F.col("rid").alias("b"), "n"), "b")
-    under = W.partitionBy("a", "elem")
-    elems = saved(elems.withColumn("m", F.count("*").over(under)).filter("m > 1").drop("m"), "jac-elems")
-    for turn in ("first", "all"):
-        now = placed(elems, "b", "cb").withColumns({"lo": F.min("cb").over(under), "hi": F.max("cb").over(under)}).filter("lo <> hi").drop("lo", "hi")
-        if turn == "first":
-            order = under.orderBy("b")
-            pairs = now.withColumns({"x": F.first("b").over(order), "cx": F.first("cb").over(order), "nx": F.first("n").over(order)}).filter("cx <> cb")
-        else:
-            now = saved(now, "jac-open")
-            pairs = now.join(now.select("a", "elem", F.col("b").alias("x"), F.col("cb").alias("cx"), F.col("n").alias("nx")), ["a", "elem"]).filter("x < b and cx <> cb")
-        pairs = pairs.filter(f"100 * least(n, nx) >= {percent} * greatest(n, nx)").select(F.col("x").alias("a"), "b").distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "jac-pairs")
-        if not pairs.isEmpty():
-            links = links.union(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
-            tested = tested.union(pairs)
+    comps = components(links, "jac-comp")
+    apart = placed(placed(star, "a", "home"), "b", "comp").select(F.col("a").alias("centre"), F.col("b").alias("rid"), "home", "comp")
+    open_ = apart.groupBy("centre").agg(F.max(F.col("comp") != F.col("home")).alias("apart"), F.count("*").alias("m")).filter("apart and m > 1").select("centre")
+    members = apart.join(open_, "centre", "left_semi").join(sketches.select("rid", "n", "seg"), "rid")
+    pairs = saved(members_near(members, percent), "jac-pairs")
+    if not pairs.isEmpty():
+        links = links.union(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
     comps = components(links, "jac-comp")
     # the smallest doc_id of a component, over all documents of its classes
     own = sets.join(classes.select("cid", "c2", "rid"), ["cid", "c2"]).join(comps.select(F.col("id").alias("rid"), "comp"), "rid", "left")
