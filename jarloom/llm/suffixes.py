@@ -14,7 +14,7 @@ from .repeats import Prefix, compared, fetched, run_rows, without
 
 WIDTH, GRAM = 100, 28
 SPLIT_ROWS = 2000  # a key with more rows is cut by a second key
-BLOCK_BYTES = 30_000  # groups of keys are put in order together up to this
+BLOCK_BYTES = 8_000  # groups of keys are put in order together up to this
 LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -54,9 +54,31 @@ def suffix_array(s: list[int] | bytes) -> list[int]:
     g = len(sizes) - 1
     order: list[int] = []  # groups as they are taken
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g]
         members[g] = None
         order.append(g)
+        if len(own) == 1:  # as below, for the most frequent case
+            i = own[0]
+            if group[i] == g:
+                p = i - 1
+                while p >= 0 and (q := previous[p]) != -2:
+                    p = q
+                previous[i] = p
+                if p >= 0 and sizes[old := group[p]] > 1:
+                    new = len(sizes)
+                    sizes[old] -= 1
+                    sizes.append(1)
+                    members.append([p])
+                    group[p] = new
+                    up = above[old]
+                    above.append(up)
+                    below.append(old)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+            g = below[g]
+            continue
+        own = [i for i in own if group[i] == g]
         for i in own:
             previous[i] = -3  # taken
         counts: dict[int, int] = {}
@@ -90,7 +112,7 @@ def suffix_array(s: list[int] | bytes) -> list[int]:
                 new = len(sizes)
                 sizes[old] -= len(ps)
                 sizes.append(len(ps))
-                members.append(sorted(ps))
+                members.append(ps if len(ps) == 1 else sorted(ps))
                 for p in ps:
                     group[p] = new
                 up = above[at]
