@@ -2,10 +2,187 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import names
+from ..operators import evaluate
+from ..operators.similarity import exact_names, members, similarity, without_source
+from ..sources.corpus import derived, file_records, parse_records, sig_records, tallies, with_tallies
+
+D = r"""docs AS (SELECT doc_id, lang, source, text, sha1(text) AS h FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT DISTINCT h, line FROM (SELECT h, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE line <> ''),
+files AS (SELECT DISTINCT source || '/' AS path, CASE WHEN doc_id % 7 = 0 THEN lang ELSE lang || '-' || CAST(doc_id AS VARCHAR) END AS basename, '.jar' AS suffix, -1 AS level, CAST(NULL AS VARCHAR) AS infilesha1, h AS filesha1 FROM docs
+  UNION ALL SELECT DISTINCT 'c/', substr(line, 1, 12), CASE WHEN (length(line) + ascii(h)) % 2 = 0 THEN '.java' ELSE '.class' END, 0, h, sha1(line) FROM lines),
+sigs AS (SELECT DISTINCT sha1(line) AS filesha1, substr(line, 1, 12) AS classname, sha1(line) AS sigsha1re,
+  sha1(replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ', '')) AS losesigsha1re FROM lines)"""
+
+
+def sim_sql(query: str | None, corpus: str | None, col: str = "sigsha1re", order: str = "jaccard_m DESC, inclusion_m DESC", versioned: bool = True, tally: str | None = None) -> str:
+    side = lambda s: f"SELECT DISTINCT infilesha1 AS archive, s.{col} AS sig FROM files f JOIN sigs s ON f.filesha1 = s.filesha1 WHERE infilesha1 IS NOT NULL" + (f" AND suffix = '{s}'" if s else "")
+    milli = lambda d: f"CASE WHEN {d} > 0 THEN CAST((2000 * i + {d}) // (2 * {d}) AS BIGINT) END"
+    return f"""{D}, q AS ({side(query)}), c AS ({side(corpus)}), t AS ({side(tally or corpus)}),
+a AS (SELECT archive AS subject, count(*) AS a FROM q GROUP BY 1), b AS (SELECT archive, count(*) AS b FROM t GROUP BY 1),
+i AS (SELECT q.archive AS subject, c.archive, count(*) AS i FROM q JOIN c USING (sig) GROUP BY 1, 2),
+x AS (SELECT subject, a, b, i, a + b - i AS u, filesha1, artifact, path FROM i JOIN a USING (subject) JOIN b USING (archive)
+  JOIN (SELECT DISTINCT filesha1, basename || suffix AS artifact, path FROM files WHERE infilesha1 IS NULL {"AND regexp_matches(basename, '[0-9]')" if versioned else ""}) n ON n.filesha1 = archive),
+y AS (SELECT *, {milli("u")} AS jaccard_m, {milli("a")} AS inclusion_m, {milli("b")} AS enclosion_m FROM x),
+results AS (SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY {order}, artifact, filesha1, path) AS rank, a, b, i AS a_intersect_b, u AS a_union_b, jaccard_m, inclusion_m, enclosion_m,
+  CAST(jaccard_m // 1000 AS VARCHAR) || '.' || lpad(CAST(jaccard_m % 1000 AS VARCHAR), 3, '0') AS jaccard, filesha1, artifact, path FROM y)"""
+
+
+SIMS: dict[str, dict] = {
+    "bin2bin_default": {"query": ".class", "corpus": ".class"},
+    "bin2bin_by_inclusion": {"query": ".class", "corpus": ".class", "order": "inclusion"},
+    "bin2bin_by_enclosion": {"query": ".class", "corpus": ".class", "order": "enclosion"},
+    "src2src": {"query": ".java", "corpus": ".java"},
+    "bin2src": {"query": ".class", "corpus": ".java"},
+    "src2bin": {"query": ".java", "corpus": ".class"},
+    "filehash_match": {"query": ".class", "corpus": ".class", "col": "filesha1"},
+    "loose_match": {"query": ".class", "corpus": ".class", "col": "losesigsha1re"},
+    "internal_match": {"query": None, "corpus": None, "tally": ".class"},
+    "all_pairs_jaccard": {"query": None, "corpus": None, "versioned": False},
+}
+SQL_ORDERS = {"jaccard": "jaccard_m DESC, inclusion_m DESC", "inclusion": "inclusion_m DESC, jaccard_m DESC", "enclosion": "enclosion_m DESC, inclusion_m DESC, jaccard_m DESC"}
+TRUTH = "(SELECT DISTINCT h AS subject, h AS target FROM docs)"
+
+
+def table(name: str):
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def all_pairs(s, d) -> DataFrame:
+    return similarity(*derived(s, d), **SIMS["bin2bin_default"])
+
+
+def truth(s, d) -> DataFrame:
+    return derived(s, d)[0].filter("infilesha1 is null").select(F.col("filesha1").alias("subject"), F.col("filesha1").alias("target")).distinct()
+
+
+def untallied(s, d) -> tuple[DataFrame, DataFrame]:
+    """files with a tally of -1 already there for every archive whose name holds no digit."""
+    files, sigs = derived(s, d)
+    old = F.when(F.col("infilesha1").isNull() & ~F.col("basename").rlike("[0-9]"), F.lit(-1).cast("long"))
+    return files.withColumns({"uniqjavasigre": old, "uniqclasssigre": old}), sigs
+
+
+def tally_query(only_missing: bool):
+    def run(s, d):
+        files, sigs = untallied(s, d)
+        return with_tallies(files.filter("infilesha1 is null"), tallies(files, sigs), only_missing).select("filesha1", "path", "basename", "uniqjavasigre", "uniqclasssigre")
+
+    return run
+
+
+def tally_sql(only_missing: bool) -> str:
+    pick = (lambda c: f"coalesce(old, {c})") if only_missing else (lambda c: f"coalesce({c}, old)")
+    return f"""WITH {D}, t AS (SELECT infilesha1, count(DISTINCT CASE WHEN suffix = '.java' THEN sigsha1re END) AS j, count(DISTINCT CASE WHEN suffix = '.class' THEN sigsha1re END) AS c FROM files f JOIN sigs s ON f.filesha1 = s.filesha1 WHERE infilesha1 IS NOT NULL GROUP BY 1),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(basename, '[0-9]') THEN CAST(-1 AS BIGINT) END AS old FROM files WHERE infilesha1 IS NULL)
+SELECT f.filesha1, path, basename, {pick("j")} AS uniqjavasigre, {pick("c")} AS uniqclasssigre FROM f LEFT JOIN t ON t.infilesha1 = f.filesha1"""
+
+
+def table_counts(s, d):
+    files, sigs = derived(s, d)
+    return files.agg(F.count("*").alias("n")).select(F.lit("files").alias("name"), "n").unionByName(sigs.agg(F.count("*").alias("n")).select(F.lit("sigs").alias("name"), "n"))
+
+
+def fqns(s, d):
+    """Lines as classes of a name (their first word): odd documents are what was found, even ones what is known."""
+    x = table("documents")(s, d).filter("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    x = x.select(F.col("doc_id") % 2 == 1, F.substring_index("line", " ", 1), F.sha1("line")).toDF("odd", "fqn", "sighash").distinct()
+    return x.filter("odd").drop("odd"), x.filter("not odd").drop("odd")
+
+
+FQN_SQL = """x AS (SELECT DISTINCT doc_id % 2 = 1 AS odd, split_part(line, ' ', 1) AS fqn, sha1(line) AS sighash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE line <> '')"""
+
+
+def diff_query(s, d):
+    x = table("documents")(s, d).filter("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    pair = F.floor(F.col("doc_id") / 2).cast("long").alias("pair")
+    return evaluate.positional_diff(x.filter("doc_id % 2 = 0").select(pair, "lines"), x.filter("doc_id % 2 = 1").select(pair, "lines"), "pair").select("pair", F.col("pos").cast("long").alias("pos"), "left_line", "right_line")
+
+
+def containment(s, d):
+    n, r, c = (table(t)(s, d) for t in ("nation", "region", "customer"))
+    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.select("c_custkey", "c_name", F.concat_ws("!/", "r_name", "n_name", "c_name").alias("path")).withColumn("level", names.zip_level(F.col("path")).cast("long"))
+
+
+def path_parts(s, d):
+    p = F.concat_ws("/", "source", "lang", F.concat(F.lit("Doc$"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".class", ".TAR.gz", ".Jar", ""))), (F.col("doc_id") % 4 + 1).cast("int"))))
+    x = table("documents")(s, d).select("doc_id", p.alias("p"))
+    p = F.col("p")
+    return x.select("doc_id", names.relative_path(p).alias("dir"), names.base_name(F.lower(p)).alias("base"), names.suffix(F.lower(p)).alias("suffix"), names.fix_class_name(p).alias("fixed"), names.ultimate_parent(p).alias("parent"), names.is_inner_class(p).alias("inner"), names.is_anonymous_class(p).alias("anonymous"), names.family(F.concat(F.lit("a-b-"), p)).alias("family"))
+
+
+PATH_SQL = r"""WITH x AS (SELECT doc_id, source || '/' || lang || '/' || 'Doc$' || CAST(doc_id AS VARCHAR) || (['.class', '.TAR.gz', '.Jar', ''])[doc_id % 4 + 1] AS p FROM documents),
+y AS (SELECT *, regexp_extract(lower(p), '([^/]*)$', 1) AS n FROM x)
+SELECT doc_id, regexp_extract(p, '^(.*/)', 1) AS dir, regexp_replace(n, '(\.tar\.[^.]*|\.[^.]*)$', '') AS base, regexp_extract(n, '(\.tar\.[^.]*|\.[^.]*)$', 1) AS suffix, translate(p, '/$', '..') AS fixed,
+  regexp_replace(p, '\$.*', '.class') AS parent, ends_with(p, '.class') AND contains(p, '$') AS inner, regexp_matches(p, '\$[0-9]+\.class$') AS anonymous, regexp_replace(split_part('a-b-' || p, '.', 1), '-[^-]*$', '') AS family FROM y"""
+
+
+def signature_lines(s, d):
+    x = table("documents")(s, d).filter("text is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda v: v != "").alias("v"))
+    key = F.transform(F.array_sort(F.transform("v", lambda v: F.struct(F.translate(v, *names.LOWER).alias("k"), v.alias("v")))), lambda r: r["v"])
+    x = x.select("doc_id", F.array_join(key, "\n").alias("sig"))
+    return x.select("doc_id", names.tight_hash(F.col("sig")).alias("tight"))
+
+
+def fold_names(s, d):
+    files, _ = derived(s, d)
+    return files.filter("infilesha1 is null").groupBy("path").agg(F.when(F.countDistinct("basename") == 1, F.min("basename")).otherwise("[various...]").alias("subject"), F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    out = {k: (lambda s, d, v=v: similarity(*derived(s, d), **v)) for k, v in SIMS.items()}
+    out |= {
+        "exact_hash_lookup": lambda s, d: exact_names(derived(s, d)[0]),
+        "binary_without_source": lambda s, d: without_source(*derived(s, d)),
+        "tallies_update_all": tally_query(False),
+        "tallies_update_null_only": tally_query(True),
+        "table_counts": table_counts,
+        "distinct_corpus": lambda s, d: members(*derived(s, d), None).groupBy("archive").agg(F.count("*").alias("n")),
+        "known_hash_antijoin": lambda s, d: evaluate.known_hash_report(*fqns(s, d)),
+        "known_hash_mismatch_diff": diff_query,
+        "containment_parent": containment,
+        "classify_results": lambda s, d: evaluate.classified(all_pairs(s, d), truth(s, d)),
+        "evaluation_matrix": lambda s, d: evaluate.matrix(evaluate.classified(all_pairs(s, d), truth(s, d))),
+        "tie_flags": lambda s, d: evaluate.ties(all_pairs(s, d)),
+        "subject_name_fold": fold_names,
+        "wire_format_files": lambda s, d: file_records(derived(s, d)[0].filter("infilesha1 is null")),
+        "wire_format_sigs": lambda s, d: sig_records(derived(s, d)[1]),
+        "wire_parse_roundtrip": lambda s, d: parse_records(file_records(derived(s, d)[0].filter("infilesha1 is null")))[0],
+        "path_parts": path_parts,
+        "sorted_signature_lines": signature_lines,
+    }
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {k: "WITH " + sim_sql(**v | {"order": SQL_ORDERS[v.get("order", "jaccard")]}) + " SELECT * FROM results" for k, v in SIMS.items()}
+    base = "WITH " + sim_sql(".class", ".class")
+    cls = f"""{base}, best AS (SELECT *, max(jaccard_m) OVER (PARTITION BY subject) AS top_j FROM results),
+g AS (SELECT b.subject, max(top_j) AS best, count(*) FILTER (jaccard_m = top_j) AS ties, min(rank) FILTER (filesha1 = target) AS hit_rank, max(jaccard_m) FILTER (filesha1 = target) AS hit_j FROM best b LEFT JOIN {TRUTH} t ON t.subject = b.subject GROUP BY 1),
+classes AS (SELECT subject, ties, hit_rank, CASE WHEN best = 1000 THEN '1.000' ELSE '0.999' END AS band, CASE WHEN ties > 1 THEN 'MULTI' ELSE 'SINGLE' END AS multiplicity,
+  CASE WHEN hit_rank IS NULL THEN 'WRONG' WHEN hit_j = best THEN 'PERFECT' ELSE 'CORRECT' END AS verdict FROM g)"""
+    rec = "concat_ws(';', 'F', path, basename, suffix, CAST(level AS VARCHAR), coalesce(infilesha1, '\\N'), filesha1, '\\N', '\\N', '\\N', '\\N')"
+    return sql | {
+        "exact_hash_lookup": f"WITH {D} SELECT filesha1, count(DISTINCT (path, basename, suffix)) AS places, min(basename || suffix) AS artifact FROM files WHERE infilesha1 IS NULL GROUP BY 1",
+        "binary_without_source": f"WITH {D}, x AS (SELECT f.*, s.sigsha1re FROM files f JOIN sigs s ON f.filesha1 = s.filesha1 WHERE infilesha1 IS NOT NULL), o AS (SELECT sigsha1re FROM x WHERE suffix <> '.java' EXCEPT SELECT sigsha1re FROM x WHERE suffix = '.java') SELECT DISTINCT x.basename || x.suffix AS filename, p.basename || p.suffix AS container, sigsha1re FROM x JOIN files p ON p.filesha1 = x.infilesha1 AND p.infilesha1 IS NULL WHERE x.suffix <> '.java' AND sigsha1re IN (SELECT sigsha1re FROM o)",
+        "tallies_update_all": tally_sql(False),
+        "tallies_update_null_only": tally_sql(True),
+        "table_counts": f"WITH {D} SELECT 'files' AS name, count(*) AS n FROM files UNION ALL SELECT 'sigs', count(*) FROM sigs",
+        "distinct_corpus": f"WITH {D} SELECT infilesha1 AS archive, count(DISTINCT sigsha1re) AS n FROM files f JOIN sigs s ON f.filesha1 = s.filesha1 WHERE infilesha1 IS NOT NULL GROUP BY 1",
+        "known_hash_antijoin": f"WITH {FQN_SQL} SELECT DISTINCT fqn, sighash, CASE WHEN fqn IN (SELECT fqn FROM x WHERE NOT odd) THEN 'MISMATCH' ELSE 'NO-FQN' END AS verdict FROM x WHERE odd AND (fqn, sighash) NOT IN (SELECT (fqn, sighash) FROM x WHERE NOT odd)",
+        "known_hash_mismatch_diff": "WITH x AS (SELECT doc_id, doc_id // 2 AS pair, string_split(text, chr(10)) AS v FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id % 2 AS side, pair, unnest(v) AS line, unnest(range(0, len(v))) AS pos FROM x), l AS (SELECT * FROM e WHERE side = 0), r AS (SELECT * FROM e WHERE side = 1) SELECT coalesce(l.pair, r.pair) AS pair, coalesce(l.pos, r.pos) AS pos, l.line AS left_line, r.line AS right_line FROM l FULL JOIN r ON l.pair = r.pair AND l.pos = r.pos WHERE l.line IS DISTINCT FROM r.line",
+        "containment_parent": "SELECT c_custkey, c_name, r_name || '!/' || n_name || '!/' || c_name AS path, CAST(1 AS BIGINT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+        "classify_results": cls + " SELECT * FROM classes",
+        "evaluation_matrix": cls + " SELECT band, multiplicity, count(*) FILTER (verdict = 'PERFECT') AS perfect, count(*) FILTER (verdict = 'CORRECT') AS correct, count(*) FILTER (verdict = 'WRONG') AS wrong FROM classes GROUP BY 1, 2",
+        "tie_flags": base + ", z AS (SELECT *, first_value(a_intersect_b) OVER w AS fi, coalesce(lag(jaccard_m) OVER w = jaccard_m, false) OR coalesce(lead(jaccard_m) OVER w = jaccard_m, false) AS neighbour_tie FROM results WINDOW w AS (PARTITION BY subject ORDER BY rank)) SELECT subject, rank, max(CASE WHEN a_intersect_b <> fi THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY rank) = 0 AS leading_tie, neighbour_tie FROM z",
+        "subject_name_fold": f"WITH {D} SELECT path, CASE WHEN count(DISTINCT basename) = 1 THEN min(basename) ELSE '[various...]' END AS subject, count(*) AS n FROM files WHERE infilesha1 IS NULL GROUP BY 1",
+        "wire_format_files": f"WITH {D} SELECT {rec} AS record FROM files WHERE infilesha1 IS NULL",
+        "wire_format_sigs": f"WITH {D} SELECT concat_ws(';', 'S', filesha1, classname, sigsha1re, losesigsha1re) AS record FROM sigs",
+        "wire_parse_roundtrip": f"WITH {D} SELECT path, basename, suffix, level, infilesha1, filesha1 FROM files WHERE infilesha1 IS NULL",
+        "path_parts": PATH_SQL,
+        "sorted_signature_lines": r"WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, string_agg(v, chr(10) ORDER BY translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), v) AS s FROM x WHERE v <> '' GROUP BY 1) SELECT d.doc_id, sha1(trim(coalesce(s, ''), ' ') || chr(10)) AS tight FROM documents d LEFT JOIN y USING (doc_id) WHERE text IS NOT NULL",
+    }

@@ -1,0 +1,4 @@
+"""Schemas of the corpus."""
+
+FILES = "path string, basename string, suffix string, level int, infilesha1 string, filesha1 string, uniqjavasigre long, uniqclasssigre long, java long, class long"
+SIGS = "filesha1 string, classname string, sigsha1re string, losesigsha1re string"
