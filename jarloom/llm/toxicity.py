@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import read, small_batches
 
-MOST_TOXIC, MOST_CLEAN = 1500, 4000  # labelled documents that are learned from, at most
+MOST_TOXIC, MOST_CLEAN = 1000, 2500  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
 FOLD = 40  # classes of characters
 PIECE = 12  # a longer unit is cut into overlapping pieces of this length
@@ -95,29 +95,34 @@ def kernel(units: list[tuple[int, ...]], marks: list[tuple[int, ...]]) -> np.nda
     for which, ids, w, norm in found:
         for k, row, z in zip(which, ids, norm, strict=True):
             np.add.at(table[:, k], row_of[row], w / z)
-    out = np.zeros((len(units), len(marks)))
+    out = np.zeros((len(units), len(marks)), np.float32)
     for which, m in by_length(units):
-        for a in range(0, len(which), 200):
-            ids, w, norm = subsequences(m[a : a + 200])
+        for a in range(0, len(which), 50):
+            ids, w, norm = subsequences(m[a : a + 50])
             rows = row_of[ids]
             r, c = np.nonzero(rows)
             sums = np.zeros((len(ids), len(marks)))
             if len(r):
                 first = np.flatnonzero(np.diff(r, prepend=-1))
                 sums[r[first]] = np.add.reduceat(table[rows[r, c]] * w[c, None], first, axis=0)
-            out[which[a : a + 200]] = sums / norm[:, None]
+            out[which[a : a + 50]] = sums / norm[:, None]
     return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> np.ndarray:
     """A linear machine with squared hinge loss, by Newton steps; the last coefficient is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(50):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on, None]
-        new = np.linalg.solve(ridge / c + a.T @ x[on], a.T @ y[on])
+        on = np.flatnonzero(y * (x @ w) < 1)
+        left, right = ridge / c, np.zeros(x.shape[1])
+        for k in range(0, len(on), 1000):  # a bounded copy at a time
+            part = x[on[k : k + 1000]].astype(float)
+            weighted = part * weight[on[k : k + 1000], None]
+            left = left + weighted.T @ part
+            right += weighted.T @ y[on[k : k + 1000]]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -212,7 +217,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
 
     def learn(p: list, n: list) -> None:
         p = p + [inserted(u) for u in p]
-        x = kernel(p + n, marks) @ whiten
+        x = kernel(p + n, marks) @ whiten.astype(np.float32)
         t = np.array([1.0] * len(p) + [-1.0] * len(n))
         often = np.array([max(1, pos[u]) for u in p[: len(p) // 2]] * 2 + [math.sqrt(max(1, neg[u])) for u in n])
         w = svm(x, t, often * np.where(t > 0, 0.5 / often[t > 0].sum(), 0.5 / often[t < 0].sum()) * len(t))
@@ -230,7 +235,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     best = {max(x, key=lambda u: (f[u], u)) for x, t in zip(of, y, strict=True) if t and x}
     wrong = sorted(neg, key=lambda u: (-f[u], u))[:4000]
     learn(sorted(set(good) | {u for u in best if f[u] > 0 and u not in neg}), list(dict.fromkeys(frequent + wrong + rest)))
-    f = dict(zip(every, model.values(every), strict=True))
+    f.update(zip(every, model.values(every), strict=True))
     top = np.array([max((f[u] for u in x), default=model.bias) for x in of])
     # the cut with the fewest errors, in the middle of the widest such gap; then the slope of the curve through it
     order = np.sort(np.unique(top))
