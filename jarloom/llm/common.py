@@ -77,7 +77,18 @@ class Hashes(dict):
 HASHES = Hashes()
 
 
+IN_USE: dict = {}
+
+
+def in_use(name: str, release) -> None:
+    """One operator's memory of words at a time in a Python worker: what another one held is released when this one begins."""
+    if IN_USE.get("name") != name:
+        IN_USE.get("release", lambda: None)()
+        IN_USE.update(name=name, release=release)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    in_use("hashes", HASHES.clear)
     return np.fromiter(map(HASHES.__getitem__, words), U64, len(words))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, saved, small_batches
+from .common import in_use, read, saved, small_batches
 
 MAGIC = b"IDPACK01"
 BLOCK_IDS = 65_536
@@ -157,6 +157,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
     small_batches(docs.sparkSession, 512)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_use("ids", ENCODERS.clear)
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         doc_ids, counts, pieces, held = [], [], [], 0
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small_batches
+from .common import in_use, read, small_batches
 
 MOST_TOXIC, MOST_CLEAN = 1000, 2500  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
@@ -315,6 +315,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
     number = int(time.time_ns())  # which model a worker remembers tokens' values for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_use("values", SCORERS.clear)
         if number not in SCORERS:
             SCORERS.clear()
             SCORERS[number] = Scorer(given.value)
