@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import evaluate
 from ..operators.similarity import exact_names, members, similarity, without_source
+from ..sources import lists
 from ..sources.corpus import derived, file_records, parse_records, sig_records, tallies, with_tallies
 
 D = r"""docs AS (SELECT doc_id, lang, source, text, sha1(text) AS h FROM documents WHERE text IS NOT NULL),
@@ -133,6 +134,69 @@ def fold_names(s, d):
     return files.filter("infilesha1 is null").groupBy("path").agg(F.when(F.countDistinct("basename") == 1, F.min("basename")).otherwise("[various...]").alias("subject"), F.count("*").alias("n"))
 
 
+def list_lines(s, d):
+    """Lines of documents as lines of a known-hash list, some of them comments or errors."""
+    x = table("documents")(s, d).filter("text is not null").select("doc_id", "lang", "source", F.sha1("text").alias("h"))
+    tag = F.element_at(F.array(*map(F.lit, ("E", "n", "N", "org", "com"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return x.select(F.concat_ws(";", F.concat_ws(".", tag, "lang", "source"), "h", F.concat("source", F.lit("/"), "lang")).alias("value"), "doc_id")
+
+
+def known_list(s, d):
+    x = list_lines(s, d).select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("E;"), "value")).when(F.col("doc_id") % 10 == 3, F.lit("  ")).otherwise(F.col("value")).alias("value"))
+    return lists.known_hashes(x)
+
+
+def truth_list(s, d):
+    x = table("documents")(s, d).filter("text is not null")
+    kind = F.element_at(F.array(*map(F.lit, ("JAR-sha1", "class-sha1", "# jar-sha1", "other"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(";"), F.upper("lang"), F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.lit("; ")).otherwise("")
+    return lists.ground_truth(x.select(F.concat(kind, F.lit(";x;"), F.upper(F.sha1("text")), given).alias("value")))
+
+
+def order_lines(s, d):
+    """Orders as packs of the older stream: each customer's orders in turn, a container, files with levels, and F records."""
+    o = table("orders")(s, d).select("o_orderkey", "o_custkey", "o_orderpriority")
+    k = F.col("o_orderkey").cast("string")
+    z = F.concat(F.lit("Z;0;/packs/p"), k, F.lit(".zip;z"), k)
+    p = F.concat(F.lit("P;"), (F.col("o_orderkey") % 3).cast("string"), F.lit(";f"), k, F.lit(".x;f"), k, F.lit(";./;"), F.when(F.col("o_orderkey") % 2 == 0, ".class").otherwise(".jar"), F.lit(";/s;h"), k)
+    f = F.concat(F.lit("F;a/;f"), k, F.lit(";.class;?;?;s"), k, F.lit(";NULL"))
+    x = o.select(F.col("o_custkey").alias("stream"), "o_orderkey", F.posexplode(F.array(z, F.lit("A;x"), p, f, F.lit("T;1"))).alias("n", "value"))
+    return x.select("stream", (F.col("o_orderkey") * 10 + F.col("n")).cast("long").alias("pos"), "value")
+
+
+PACK_SQL = r"""WITH o AS (SELECT o_custkey AS stream, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS top FROM orders)
+SELECT stream, CAST(k * 10 AS BIGINT) AS pos, 'F;/packs/;p' || k || ';.zip;-1;NULL;z' || k || ';NULL;NULL;NULL;NULL' AS record FROM o WHERE top
+UNION ALL SELECT stream, CAST(k * 10 + 2 AS BIGINT), 'F;./;f' || k || ';.jar;' || (k % 3) || ';z' || k || ';h' || k || ';NULL;NULL;NULL;NULL' FROM o WHERE k % 2 <> 0
+UNION ALL SELECT stream, CAST(k * 10 + 3 AS BIGINT), 'F;a/;f' || k || ';.class;' || (k % 3) || ';z' || k || ';s' || k || ';NULL' FROM o"""
+
+
+def tree(s, d):
+    """Region, nation, customer and order as containers in one another."""
+    n, c, o = (table(t)(s, d) for t in ("nation", "customer", "orders"))
+    key = lambda a, b: F.concat(F.lit(a), F.col(b).cast("string"))
+    x = n.select(key("n", "n_nationkey").alias("filesha1"), key("r", "n_regionkey").alias("infilesha1"))
+    x = x.unionByName(c.select(key("c", "c_custkey").alias("filesha1"), key("n", "c_nationkey").alias("infilesha1")))
+    x = x.unionByName(o.select(key("o", "o_orderkey").alias("filesha1"), key("c", "o_custkey").alias("infilesha1")))
+    return lists.ancestors(x).select("filesha1", "container", F.col("distance").cast("long").alias("distance"))
+
+
+TREE_SQL = """WITH RECURSIVE t AS (SELECT 'n' || n_nationkey AS f, 'r' || n_regionkey AS a FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
+u AS (SELECT f AS filesha1, a AS container, CAST(1 AS BIGINT) AS distance FROM t UNION ALL SELECT u.filesha1, t.a, u.distance + 1 FROM u JOIN t ON t.f = u.container) SELECT * FROM u"""
+
+
+def debian_paths(s, d):
+    x = table("part")(s, d).select(F.col("p_partkey").alias("k"))
+    n = lambda e: F.element_at(F.array(*map(F.lit, e)), (F.col("k") % len(e) + 1).cast("int"))
+    v = F.concat((F.col("k") % 4).cast("string"), F.lit("."), (F.col("k") % 3).cast("string"))
+    w = F.concat((F.col("k") % 4).cast("string"), F.lit("."), (F.col("k") % 6).cast("string"))
+    return lists.debian_matches(x.select(F.concat(F.lit("pool/lib"), F.col("k").cast("string"), F.lit("_"), v, n(("-1", "+dfsg-2", ".dfsg-1", "")), F.lit("_all"), n((".deb/", ".rpm/", ".deb/")), n(("data.tar.gz/", "data.tar.xz/", "control/", "data.tar.bz2/", "data.tar.gz/")), F.lit("usr/share/java/lib-"), w, F.lit(".jar")).alias("value")))
+
+
+DEBIAN_SQL = """WITH x AS (SELECT p_partkey AS k, (p_partkey % 4) || '.' || (p_partkey % 3) AS v, (p_partkey % 4) || '.' || (p_partkey % 6) AS w FROM part),
+y AS (SELECT *, 'pool/lib' || k || '_' || v || (['-1', '+dfsg-2', '.dfsg-1', ''])[k % 4 + 1] || '_all' || (['.deb/', '.rpm/', '.deb/'])[k % 3 + 1] || (['data.tar.gz/', 'data.tar.xz/', 'control/', 'data.tar.bz2/', 'data.tar.gz/'])[k % 5 + 1] || 'usr/share/java/lib-' || w || '.jar' AS value FROM x)
+SELECT value, 'lib-' || w || '.jar' AS jar, v || '.jar' AS version FROM y WHERE k % 3 <> 1 AND k % 5 <> 2 AND k % 4 <> 3 AND contains('lib-' || w || '.jar', v || '.jar')"""
+
+
 def queries() -> dict:
     out = {k: (lambda s, d, v=v: similarity(*derived(s, d), **v)) for k, v in SIMS.items()}
     out |= {
@@ -154,6 +218,11 @@ def queries() -> dict:
         "wire_parse_roundtrip": lambda s, d: parse_records(file_records(derived(s, d)[0].filter("infilesha1 is null")))[0],
         "path_parts": path_parts,
         "sorted_signature_lines": signature_lines,
+        "known_hash_list": known_list,
+        "ground_truth_list": truth_list,
+        "pack_records": lambda s, d: lists.pack_records(order_lines(s, d)),
+        "containment_ancestors": tree,
+        "debian_version_filter": debian_paths,
     }
     return out
 
@@ -183,6 +252,11 @@ classes AS (SELECT subject, ties, hit_rank, CASE WHEN best = 1000 THEN '1.000' E
         "wire_format_files": f"WITH {D} SELECT {rec} AS record FROM files WHERE infilesha1 IS NULL",
         "wire_format_sigs": f"WITH {D} SELECT concat_ws(';', 'S', filesha1, classname, sigsha1re, losesigsha1re) AS record FROM sigs",
         "wire_parse_roundtrip": f"WITH {D} SELECT path, basename, suffix, level, infilesha1, filesha1 FROM files WHERE infilesha1 IS NULL",
+        "known_hash_list": "SELECT (['E', 'n', 'N', 'org', 'com'])[doc_id % 5 + 1] || '.' || concat_ws('.', lang, source) AS fqn, sha1(text) AS sighash, source || '/' || lang AS path FROM documents WHERE text IS NOT NULL AND doc_id % 10 NOT IN (0, 3) AND doc_id % 5 NOT IN (1, 2)",
+        "ground_truth_list": "SELECT (['jar-sha1', 'class-sha1'])[doc_id % 4 + 1] AS type, sha1(text) AS subject, CASE WHEN doc_id % 3 = 0 THEN lower(lang) ELSE sha1(text) END AS truth FROM documents WHERE text IS NOT NULL AND doc_id % 4 < 2",
+        "pack_records": PACK_SQL,
+        "containment_ancestors": TREE_SQL,
+        "debian_version_filter": DEBIAN_SQL,
         "path_parts": PATH_SQL,
         "sorted_signature_lines": r"WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL), y AS (SELECT doc_id, string_agg(v, chr(10) ORDER BY translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), v) AS s FROM x WHERE v <> '' GROUP BY 1) SELECT d.doc_id, sha1(trim(coalesce(s, ''), ' ') || chr(10)) AS tight FROM documents d LEFT JOIN y USING (doc_id) WHERE text IS NOT NULL",
     }

@@ -15,7 +15,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "documents"):
+    for t in ("region", "nation", "customer", "orders", "part", "documents"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
