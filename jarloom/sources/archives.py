@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytecode import class_signature
+from ..functions.javasource import source_signatures
 
 # fixed values: suffixes of what is scanned
 ZIPS = (".zip", ".war", ".ear", ".jar")
@@ -92,7 +93,9 @@ def scanned(path: str, data: bytes, level: int, inside: str | None, full: str, r
         yield from of_classes([(path, data)], level, inside, full[: len(full) - len(path)], sorts)
     elif path.lower().endswith(".java"):
         if not path.upper().endswith("PACKAGE-INFO.JAVA"):
-            yield row(path, level, inside, sha, full, "src")
+            for package, cls, text in source_signatures(data.decode("utf-8", "replace"), **sorts):
+                failed = text.startswith("e;")
+                yield row(path, level, inside, sha, f"{full};{cls}", "error" if failed else "src", package, cls, None if failed else text, text if failed else None)
     elif is_archive(path):
         yield row(path, level, inside, sha, full, "archive")
         classes, sources = [], []
@@ -118,7 +121,7 @@ def extract(files: DataFrame, recursive: bool = True, **sorts: bool) -> DataFram
     """files (path, content), as the binaryFile source gives them, to rows of archives, classes and errors; sorts: sort_fields, sort_methods, sort_inner.
 
     An archive is one task's work, whatever is nested in it, and its rows leave in batches of 500. Class files that are rows by themselves are gathered by their folder
-    and outer class. A row has the record format's columns, the class's package, name and signature, and the error if it has none. Null contents are left out.
+    and outer class. A row has the record format's columns, the class's package, name and signature, and the error if it has none; a source has a row for each of its top-level classes. Null contents are left out.
     """
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
     loose = F.lower(name).endswith(".class")
