@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_use, read, small_batches
+from .common import in_use, read, saved, small_batches
 
 MOST_TOXIC, MOST_CLEAN = 1000, 2500  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
 FOLD = 40  # classes of characters
+MARK = FOLD - 1  # stands before the first letter of a word
 PIECE = 12  # a longer unit is cut into overlapping pieces of this length
 LANDMARKS = 300
 SENTENCE = re.compile(r"[.!?\n]+\s|\n+")
@@ -28,8 +29,8 @@ SINGLE = -1e30  # the value that stands for a token of one character
 
 
 def code(text: str) -> list[int]:
-    """Letters and digits as classes: a-z have their own, digits share one, others share the rest by code point."""
-    out = []
+    """Letters and digits as classes behind MARK: a-z have their own, digits share one, others share the rest by code point. Nothing for a word without any."""
+    out = [MARK]
     for c in text:
         k = ord(c)
         if 97 <= k <= 122:
@@ -37,8 +38,8 @@ def code(text: str) -> list[int]:
         elif 48 <= k <= 57:
             out.append(26)
         elif c.isalnum():
-            out.append(27 + k % (FOLD - 27))
-    return out
+            out.append(27 + k % (MARK - 27))
+    return out if len(out) > 1 else []
 
 
 def pieces(unit: list[int]) -> list[tuple[int, ...]]:
@@ -133,13 +134,13 @@ def units_of(text: str) -> list[tuple[int, ...]]:
     """The units of a sentence: words without marks, and runs of ORDER and more single characters joined."""
     out, run = [], []
     for w in [code(x) for x in text.lower().split()] + [[]] * 2:
-        if len(w) == 1:
-            run += w
+        if len(w) == 2:
+            run += w[1:] if run else w
             continue
-        if len(run) >= ORDER:
+        if len(run) > ORDER:
             out += pieces(run)
         run = []
-        if len(w) >= ORDER:
+        if len(w) > ORDER:
             out += pieces(w)
     return out
 
@@ -162,11 +163,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -50, 50)))
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
+def likelihood_ratio(a: int, b: int, np_: int, nn: int) -> float:
+    """Evidence that what is in a of np_ toxic texts and in b of nn clean ones is more frequent in the toxic ones."""
+    p, q, r = a / np_, b / nn, (a + b) / (np_ + nn)
+    if p <= q:
+        return 0.0
+    term = lambda k, n, s: (k * math.log(s) if k else 0) + ((n - k) * math.log(1 - s) if n > k else 0)
+    return 2 * (term(a, np_, p) + term(b, nn, q) - term(a + b, np_ + nn, r))
+
+
+def dealt(lists: list[list]) -> list:
+    """The first of each list, the second of each, and so on; each thing once."""
+    return [x for x in dict.fromkeys(x for row in itertools.zip_longest(*lists) for x in row) if x is not None]
+
+
+def fit(texts: list[str], toxic: list[int], strata: list | None = None, seed: int = 3) -> Model:
     """Learn from labelled texts, by sentences.
 
     A toxic text has some toxic sentence, a clean one has none. Units found in more toxic texts than chance allows make the first positive examples, with copies that
-    have a character inserted; units of sentences of clean texts are the negative ones. Landmarks are diverse positive units and frequent negative ones. The machine is
+    have a character inserted; chance is reckoned over all texts and within each stratum (such as a language), and strata take turns in examples and landmarks; units of sentences of clean texts are the negative ones. Landmarks are diverse positive units and frequent negative ones. The machine is
     trained, then once more with the best unit of the best sentence of each toxic text and the worst mistakes among the clean. A logistic curve over the best units of
     whole texts, through the cut with the fewest errors, gives the probability.
     """
@@ -175,29 +190,34 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Model:
     if not y.any() or y.all():
         model.shift = 50.0 if y.any() else -50.0
         return model
+    strata = strata or [""] * len(texts)
     one: dict = {}  # each unit is held once
     of = [sorted({one.setdefault(u, u) for s in SENTENCE.split(t) for u in units_of(s)}) for t in texts]
     pos, neg = Counter(u for x, t in zip(of, y, strict=True) if t for u in x), Counter(u for x, t in zip(of, y, strict=True) if not t for u in x)
     np_, nn = int(y.sum()), int((~y).sum())
 
-    def ratio(a, b):
-        p, q, r = a / np_, b / nn, (a + b) / (np_ + nn)
-        if p <= q:
-            return 0.0
-        term = lambda k, n, s: (k * math.log(s) if k else 0) + ((n - k) * math.log(1 - s) if n > k else 0)
-        return 2 * (term(a, np_, p) + term(b, nn, q) - term(a + b, np_ + nn, r))
-
-    grams = lambda u: {u[k : k + ORDER] for k in range(len(u) - ORDER + 1)}
-    gp = Counter(g for x, t in zip(of, y, strict=True) if t for g in set().union(*map(grams, x)))
-    often = {g for g in gp if gp[g] >= 3}
-    gn = Counter(g for x, t in zip(of, y, strict=True) if not t for g in set().union(*map(grams, x)) & often)
-    stems = {g: r for g in often if (r := ratio(gp[g], gn[g])) >= 15}
-    # units by their own evidence, or by that of the strongest run of ORDER characters in them
-    ranked = sorted(((max([ratio(pos[u], neg[u]) if pos[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])]), u) for u in pos), reverse=True)
-    good = [u for r, u in ranked if r >= 15][:2500] or [u for _, u in ranked[:10]]
+    grams = lambda u: {u[k : k + ORDER] for k in range(len(u) - ORDER + 1)} | {u[:k] for k in range(ORDER + 1, min(len(u), ORDER + 3) + 1) if u[0] == MARK}
+
+    def evidence(which: list[int]) -> dict:
+        """Units of toxic texts among these by their own evidence, or by that of the strongest run of ORDER characters, or beginning of 4 to 6 letters, in them."""
+        on, off = [of[k] for k in which if y[k]], [of[k] for k in which if not y[k]]
+        ratio = lambda a, b: likelihood_ratio(a, b, len(on), len(off))
+        p, q = Counter(u for x in on for u in x), Counter(u for x in off for u in x)
+        gp = Counter(g for x in on for g in set().union(*map(grams, x)))
+        often = {g for g in gp if gp[g] >= 3}
+        gn = Counter(g for x in off for g in set().union(*map(grams, x)) & often)
+        stems = {g: r for g in often if (r := ratio(gp[g], gn[g])) >= 15}
+        return {u: max([ratio(p[u], q[u]) if p[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])]) for u in p}
+
+    within = [[k for k, s in enumerate(strata) if s == one] for one in sorted(set(strata), key=str)]
+    found = [evidence(x) for x in within if y[x].any() and not y[x].all()] + ([evidence(list(range(len(of))))] if len(within) > 1 else [])
+    ranked = [sorted(((r, u) for u, r in e.items()), reverse=True) for e in found]
+    good = dealt([[u for r, u in x if r >= 15] for x in ranked])[:2500] or dealt([[u for _, u in x[:10]] for x in ranked])[:10]
     if not good:
         return model
-    clean = sorted(neg, key=lambda u: (-neg[u], u))
+    by_frequency = lambda c: sorted(c, key=lambda u: (-c[u], u))
+    clean = dealt([by_frequency(Counter(u for k in x if not y[k] for u in of[k]))[:400] for x in within])[:400]
+    clean += sorted(set(neg) - set(clean), key=lambda u: (-neg[u], u))
     frequent = clean[:400]
     rest = [clean[k] for k in sorted(rng.choice(np.arange(400, len(clean)), min(12_000, max(0, len(clean) - 400)), False))] if len(clean) > 400 else []
     marks: list[tuple[int, ...]] = []
@@ -269,8 +289,8 @@ class Scorer:
             units, at = [], []
             for n, w in enumerate(new):
                 c = code(w.decode(errors="ignore").lower())
-                known[w] = SINGLE if len(c) == 1 else self.model.bias
-                if len(c) >= ORDER:
+                known[w] = SINGLE if len(c) == 2 else self.model.bias
+                if len(c) > ORDER:
                     more = pieces(c)
                     units += more
                     at += [n] * len(more)
@@ -296,10 +316,42 @@ class Scorer:
 SCORERS: dict[int, Scorer] = {}
 
 
+def quotas(counts: dict, most: int) -> dict:
+    """How many to take of each: half of `most` by count, half equally; what some don't have goes to the others."""
+    if (total := sum(counts.values())) <= most:
+        return counts
+    low, high = 0.0, float(most)
+    at = lambda level: {k: min(n, int(most / 2 * n / total + level)) for k, n in counts.items()}
+    for _ in range(50):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(at(level).values()) <= most else (low, level)
+    return at(low)
+
+
+def sample(docs: DataFrame, known: DataFrame, most: dict[int, int]) -> DataFrame:
+    """doc_id, toxic and stratum (the language; those beyond the 200 most frequent are one) of what is learned from. Only ids and languages are read for it."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    ids = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"))
+    x = known.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("stratum").alias("stratum"))
+    x = saved(x.withColumn("place", F.xxhash64("doc_id") / 2.0**64 + 0.5), "toxic-labels")
+    names = [r.stratum for r in x.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(200).collect()]
+    x = x.withColumn("stratum", F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise(""))
+    counts = {(r.toxic, r.stratum): r["count"] for r in x.groupBy("toxic", "stratum").count().collect()}
+    take: dict = {}
+    for t, n in most.items():
+        take |= quotas({k: c for k, c in counts.items() if k[0] == t}, n)
+    # what is surely enough of each by its hash, then the first of these
+    some = x.sparkSession.createDataFrame([(*k, min(1.0, (2 * n + 50) / counts[k])) for k, n in take.items()], "toxic int, stratum string, part double")
+    found = x.join(F.broadcast(some), ["toxic", "stratum"]).filter("place <= part").select("doc_id", "toxic", "stratum", "place").toPandas().sort_values(["place", "doc_id"])
+    found = [g.head(take[k]) for k, g in found.groupby(["toxic", "stratum"])]
+    return x.sparkSession.createDataFrame([(int(i), int(t), s) for g in found for i, t, s in zip(g["doc_id"], g["toxic"], g["stratum"], strict=True)], "doc_id long, toxic int, stratum string")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to docs with held_out, score and predicted in place of any columns of these names.
 
-    Learns from labelled documents whose crc32 of doc_id as text is not divisible by 5, at most `most_toxic` and `most_clean` of them in the order of a hash. A doc_id
+    Learns from labelled documents whose crc32 of doc_id as text is not divisible by 5, at most `most_toxic` and `most_clean` of them: half dealt by
+    how many a language has and half equally, in the order of a hash within each. The language is docs' lang, where there is one, and only picks what is learned from. A doc_id
     with several labels is toxic if one says so; null labels and labels of null doc_ids don't count. Scoring is one pass over whole texts without a shuffle; only the
     text is an input of a score. Null and empty texts have no units and get the score of the bias. Without labels of both classes all scores are near 0 (near 1 if all
     labels are toxic). Every row is scored by itself, also where rows repeat; a null doc_id counts as held out. Empty tables give no rows.
@@ -307,10 +359,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
     spark = docs.sparkSession
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0))
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(remainder != 0)
-    some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, most_toxic), (0, most_clean))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").filter("text is not null").select("doc_id", "text", "toxic").toPandas()
+    some = sample(docs, known, {1: most_toxic, 0: most_clean})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "toxic", "stratum").toPandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    given = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))
+    given = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), rows["stratum"].tolist()))
     small_batches(spark, 500)
     number = int(time.time_ns())  # which model a worker remembers tokens' values for
 
@@ -331,4 +383,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

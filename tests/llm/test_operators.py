@@ -149,3 +149,21 @@ def test_empty_tables(spark):
 def test_mixing_spends_budgets(spark):
     got = mixing.mix_sources(frame(spark, ["w " * (k % 7) for k in range(300)])).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("m")).collect()
     assert all(abs(r.t - r.m) <= 1 for r in got)
+
+
+def test_toxicity_finds_each_languages_insults(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).filter("held_out and text is not null").join(labels, "doc_id")
+    got = {(r.lang, r.toxic): r for r in got.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("found")).collect()}
+    for lang in ("de", "en", "es", "fr"):
+        assert got[lang, 1].found >= 0.3 * got[lang, 1].n, lang
+        assert got[lang, 0].found <= 0.05 * got[lang, 0].n, lang
+
+
+def test_toxicity_learns_from_rare_languages(spark):
+    known = spark.createDataFrame([(k, int(k % 2)) for k in range(4000)], "doc_id long, toxic int")
+    docs = known.select("doc_id", F.lit("x").alias("text"), F.when(F.col("doc_id") < 60, "aa").otherwise("bb").alias("lang"))
+    got = {(r.toxic, r.stratum): r["count"] for r in toxicity.sample(docs, known, {1: 100, 0: 2000}).groupBy("toxic", "stratum").count().collect()}
+    assert got[1, "aa"] >= 25 and 95 <= got[1, "aa"] + got[1, "bb"] <= 100
+    assert (got[0, "aa"], got[0, "bb"]) == (30, 1970)
