@@ -60,6 +60,11 @@ def truth(s, d) -> DataFrame:
     return derived(s, d)[0].filter("infilesha1 is null").select(F.col("filesha1").alias("subject"), F.col("filesha1").alias("target")).distinct()
 
 
+def subject_classes(s, d) -> DataFrame:
+    subjects = derived(s, d)[0].filter("infilesha1 is null").select(F.col("filesha1").alias("subject"), F.concat("basename", "suffix").alias("name"))
+    return evaluate.classified_subjects(subjects, all_pairs(s, d), truth(s, d))
+
+
 def untallied(s, d) -> tuple[DataFrame, DataFrame]:
     """files with a tally of -1 already there for every archive whose name holds no digit."""
     files, sigs = derived(s, d)
@@ -211,6 +216,8 @@ def queries() -> dict:
         "containment_parent": containment,
         "classify_results": lambda s, d: evaluate.classified(all_pairs(s, d), truth(s, d)),
         "evaluation_matrix": lambda s, d: evaluate.matrix(evaluate.classified(all_pairs(s, d), truth(s, d))),
+        "classify_subjects": subject_classes,
+        "evaluation_totals": lambda s, d: evaluate.totals(subject_classes(s, d)),
         "tie_flags": lambda s, d: evaluate.ties(all_pairs(s, d)),
         "subject_name_fold": fold_names,
         "wire_format_files": lambda s, d: file_records(derived(s, d)[0].filter("infilesha1 is null")),
@@ -234,6 +241,11 @@ def oracle_sql() -> dict[str, str]:
 g AS (SELECT b.subject, max(top_j) AS best, count(*) FILTER (jaccard_m = top_j) AS ties, min(rank) FILTER (filesha1 = target) AS hit_rank, max(jaccard_m) FILTER (filesha1 = target) AS hit_j FROM best b LEFT JOIN {TRUTH} t ON t.subject = b.subject GROUP BY 1),
 classes AS (SELECT subject, ties, hit_rank, CASE WHEN best = 1000 THEN '1.000' ELSE '0.999' END AS band, CASE WHEN ties > 1 THEN 'MULTI' ELSE 'SINGLE' END AS multiplicity,
   CASE WHEN hit_rank IS NULL THEN 'WRONG' WHEN hit_j = best THEN 'PERFECT' ELSE 'CORRECT' END AS verdict FROM g)"""
+    every = f"""{cls}, s AS (SELECT filesha1 AS subject, regexp_replace(split_part(lower(min(basename || suffix)), '.', 1), '-[^-]*$', '') AS family FROM files WHERE infilesha1 IS NULL GROUP BY 1),
+near AS (SELECT r.subject, min(rank) AS related_rank FROM (SELECT *, max(a_intersect_b) OVER (PARTITION BY subject) AS top_i FROM results) r JOIN s ON s.subject = r.subject LEFT JOIN {TRUTH} t ON t.subject = r.subject
+  WHERE a_intersect_b = top_i AND filesha1 IS DISTINCT FROM target AND contains(lower(artifact), family) GROUP BY 1),
+verdicts AS (SELECT s.subject, ties, hit_rank, related_rank, band, multiplicity, CASE WHEN verdict IS NULL THEN 'NO_MATCH' WHEN verdict = 'WRONG' AND related_rank IS NOT NULL THEN 'CORRECT' ELSE verdict END AS verdict
+  FROM s LEFT JOIN classes c ON c.subject = s.subject LEFT JOIN near n ON n.subject = s.subject)"""
     rec = "concat_ws(';', 'F', path, basename, suffix, CAST(level AS VARCHAR), coalesce(infilesha1, '\\N'), filesha1, '\\N', '\\N', '\\N', '\\N')"
     return sql | {
         "exact_hash_lookup": f"WITH {D} SELECT filesha1, count(DISTINCT (path, basename, suffix)) AS places, min(basename || suffix) AS artifact FROM files WHERE infilesha1 IS NULL GROUP BY 1",
@@ -247,6 +259,8 @@ classes AS (SELECT subject, ties, hit_rank, CASE WHEN best = 1000 THEN '1.000' E
         "containment_parent": "SELECT c_custkey, c_name, r_name || '!/' || n_name || '!/' || c_name AS path, CAST(1 AS BIGINT) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
         "classify_results": cls + " SELECT * FROM classes",
         "evaluation_matrix": cls + " SELECT band, multiplicity, count(*) FILTER (verdict = 'PERFECT') AS perfect, count(*) FILTER (verdict = 'CORRECT') AS correct, count(*) FILTER (verdict = 'WRONG') AS wrong FROM classes GROUP BY 1, 2",
+        "classify_subjects": every + " SELECT * FROM verdicts",
+        "evaluation_totals": every + " SELECT band, multiplicity, verdict, count(*) AS n FROM verdicts GROUP BY 1, 2, 3 UNION ALL SELECT NULL, NULL, 'TOTAL', count(*) FROM verdicts",
         "tie_flags": base + ", z AS (SELECT *, first_value(a_intersect_b) OVER w AS fi, coalesce(lag(jaccard_m) OVER w = jaccard_m, false) OR coalesce(lead(jaccard_m) OVER w = jaccard_m, false) AS neighbour_tie FROM results WINDOW w AS (PARTITION BY subject ORDER BY rank)) SELECT subject, rank, max(CASE WHEN a_intersect_b <> fi THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY rank) = 0 AS leading_tie, neighbour_tie FROM z",
         "subject_name_fold": f"WITH {D} SELECT path, CASE WHEN count(DISTINCT basename) = 1 THEN min(basename) ELSE '[various...]' END AS subject, count(*) AS n FROM files WHERE infilesha1 IS NULL GROUP BY 1",
         "wire_format_files": f"WITH {D} SELECT {rec} AS record FROM files WHERE infilesha1 IS NULL",

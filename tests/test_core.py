@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jarloom.functions.names import milli, ratio_text
+from jarloom.operators import evaluate
 from jarloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,11 @@ def test_published_ratios(spark):
     i = F.col("i")
     got = df.select((F.col("a") + F.col("b") - i) == F.col("u"), ratio_text(milli(i, F.col("u"))) == F.col("j"), ratio_text(milli(i, F.col("a"))) == F.col("n")).collect()
     assert all(all(r) for r in got)
+
+
+def test_subjects_without_candidates_and_of_the_same_family(spark):
+    subjects = spark.createDataFrame([("h1", "ant-1.0.jar"), ("h2", "ivy-2.0.jar"), ("h3", "log-1.0.jar")], "subject string, name string")
+    results = spark.createDataFrame([("h1", 1, 5, 900, "x1", "ANT-1.1.jar"), ("h3", 1, 5, 900, "x2", "ivy-2.1.jar")], "subject string, rank long, a_intersect_b long, jaccard_m long, filesha1 string, artifact string")
+    classes = evaluate.classified_subjects(subjects, results, subjects.select("subject", F.col("subject").alias("target")))
+    assert {r.subject: (r.verdict, r.related_rank) for r in classes.collect()} == {"h1": ("CORRECT", 1), "h2": ("NO_MATCH", None), "h3": ("WRONG", None)}
+    assert {r.verdict: r.n for r in evaluate.totals(classes).collect()} == {"CORRECT": 1, "NO_MATCH": 1, "WRONG": 1, "TOTAL": 3}
