@@ -1,55 +1,77 @@
-"""The corpus pipeline: documents through five of the operators, each stage written and read again."""
+"""The corpus pipeline: documents through five of the operators, each stage written and read again.
+
+Stages take whole rows. A row is known by its doc_id, or, where doc_ids are null or repeat, by a number of its own, so that rows which share a doc_id are judged one by
+one. Every stage gives no rows for an empty table; other columns, whatever their names, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jarloom.llm.common import read, saved
+from jarloom.llm.common import dropped, read, saved
 from jarloom.llm.decontaminate import bounded, decontaminate
 from jarloom.llm.jaccard import jaccard_components
 from jarloom.llm.mixing import mix_sources
 from jarloom.llm.packing import pack_tokens, tokenizer_file, unpacked
 from jarloom.llm.toxicity import toxicity
 
+GRAM, PERCENT = 5, 80  # of near copies
+
+
+def rows_of(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, and its name, that tells rows apart: doc_id where these are all different, else a number of the row, saved, as it would not come out the same twice."""
+    row = "row"
+    while any(c.lower().startswith(row) for c in docs.columns):
+        row += "_"
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    return saved(docs.withColumn(row, F.monotonically_increasing_id()), "pipe-rows"), row
+
+
+def by_row(docs: DataFrame, row: str) -> DataFrame:
+    """What operators get: the row in place of doc_id."""
+    return docs.withColumn("doc_id", F.col(row)).drop(row)
+
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids (null is an id of its own); the ids are broadcast only if they are few by count."""
-    gone = saved(ids.select(F.col("doc_id").alias("gone")).distinct(), "pipe-gone")
-    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+def without(docs: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """docs without the rows that found has the doc_ids of; these are broadcast only if they are few by count."""
+    gone = saved(found.select(F.col("doc_id").alias(row)), "pipe-gone")
+    return docs.join(bounded(gone), row, "left_anti").select(*(c for c in docs.columns if c != row))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine does not predict to be toxic."""
+    """Documents that the toxicity machine does not predict to be toxic. A null or empty text has the score of no insult and stays."""
     return toxicity(docs, read(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id. Rows that share a doc_id count as copies: the first by text stays."""
-    found = saved(jaccard_components(docs), "pipe-jaccard")
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return without_ids(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked documents (GRAM words, PERCENT of similarity) the row with the smallest doc_id, or the first read where doc_ids repeat. Texts without words
+    are linked with nothing and stay."""
+    docs, row = rows_of(docs)
+    return without(docs, row, jaccard_components(by_row(docs, row), GRAM, PERCENT).filter("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = saved(decontaminate(docs, read(spark, sf_dir, "benchmark")), "pipe-hits")  # else the filter is worked out from copies of the whole expression
-    return without_ids(docs, found.filter("contaminated"))
+    """Documents that are not contaminated by the benchmark. A null text has no words and stays."""
+    docs, row = rows_of(docs)
+    found = saved(decontaminate(by_row(docs, row), read(spark, sf_dir, "benchmark")), "pipe-hits")  # else the filter is worked out from copies of the whole expression
+    return without(docs, row, found.filter("contaminated"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, as rows that repeat. The one at a source's cut is taken whole if half of it or more is inside the budget."""
-    times = mix_sources(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int").alias("times"))
-    times = saved(times, "pipe-times")  # a few bytes a document
-    twice = times.groupBy("doc_id").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("id"), "times")
-    x = docs.join(twice, F.col("doc_id").eqNullSafe(F.col("id"))).filter("times > 0")
-    return x.withColumn("_n", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    """Each document as often as the mix takes it, as rows that repeat. The one at a source's cut is taken whole if half of it or more is inside the budget; one without
+    words costs nothing and is taken once."""
+    names = docs.columns
+    docs, row = rows_of(docs)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
+    found = saved(mix_sources(by_row(docs, row)).select(F.col("doc_id").alias(row), times.alias(f"{row}_n")), "pipe-times")  # a few bytes a document
+    x = docs.join(found.filter(F.col(f"{row}_n") > 0), row)
+    return x.select(*names, F.explode(F.sequence(F.lit(1), F.col(f"{row}_n"))).alias(f"{row}_k")).select(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in packed files, and what reading these back gives for each row."""
+    """Token ids in packed files, and what reading these back gives for each row. A null text is empty; rows that share a doc_id stand by their text."""
     return unpacked(pack_tokens(docs, tokenizer_file()))
 
 
@@ -58,7 +80,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written to the shared folder and read as the next one's docs, which then goes; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipe-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"pipe-{name}")
+        if hasattr(before, "saved_at"):
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

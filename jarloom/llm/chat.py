@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import read
 
 SEGMENT = "conv_id long, turn_no int, kind string, role string, text string, loss boolean, error string"
 
@@ -81,8 +81,6 @@ def format_chat(rows: DataFrame, template: Template = Template()) -> DataFrame:
     not read. Rows are dealt by conv_id and sorted, and the machine reads a stream, so that a conversation of any length needs little memory; its hash is one sequence,
     so one task reads it. Null conv_id is a conversation of its own.
     """
-    small_batches(rows.sparkSession, 2000)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int32()), ("kind", pa.string()), ("role", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("error", pa.string())])
         out, held = [], 0

@@ -7,10 +7,13 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = -(2**63)  # stands for a null id, before all others
@@ -21,47 +24,92 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut by rows and by bytes of a column (or one row): what Python objects are made of at a time. Spark bounds a batch itself by bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session needs to change."""
+    for b in batches:
+        size = np.zeros(b.num_rows + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False), out=size[1:])
+        a = 0
+        while a < b.num_rows:
+            e = min(a + rows, max(a + 1, int(np.searchsorted(size, size[a] + most, side="right")) - 1))
+            yield b.slice(a, e - a)
+            a = e
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where none is set, a temporary one if all runs in this process (master local), as in tests; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="jarloom-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
         atexit.register(shutil.rmtree, found, True)
         found = f"file://{found}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+TABLES: dict[str, SparkSession] = {}  # paths of the tables that saved() has written and nothing has dropped
+
+
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and any executor can be lost."""
+    """Write a table to the shared folder and read it back: lineage ends there, and any executor can be lost. It stays until dropped(), released() or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    TABLES[path] = spark
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote and that nothing will read any more."""
+    for t in tables:
+        delete(t.saved_at)
+
+
+def delete(path: str) -> None:
+    spark = TABLES.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def released() -> None:
+    """Delete all tables of this process; results that read them can't be used afterwards."""
+    for path in list(TABLES):
+        try:
+            delete(path)
+        except Exception:  # the session has ended before
+            TABLES.pop(path, None)
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with only _d (doc_id; LEAST for null), _o (0; the order by text among rows of one doc_id) and text (empty for null).
+    """docs with only _d (doc_id; LEAST for null), _o (0; -1 where doc_id is null) and text (empty for null).
 
-    Rows that share a doc_id are documents of their own. Only then is there a shuffle of texts; identical rows get different _o.
+    Rows that share a doc_id are documents of their own: where there are any, _o numbers all rows as they are read, below 0 where doc_id is null, and the table is saved
+    with these numbers, as they would not come out the same twice. Nothing is sorted, so any number of rows may share an id.
     """
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("_d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    twice = d.groupBy("_d").count().filter("count > 1")
-    if twice.isEmpty():
-        return d.select("_d", F.lit(0).alias("_o"), "text")
-    from pyspark.sql import Window as W
-
-    return d.select("_d", (F.row_number().over(W.partitionBy("_d").orderBy("text")) - 1).alias("_o"), "text")
+    null = F.col("doc_id").isNull()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    key = F.coalesce("doc_id", F.lit(LEAST)).alias("_d")
+    if d.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return d.select(key, F.when(null, F.lit(-1)).otherwise(F.lit(0)).cast("long").alias("_o"), "text")
+    n = F.monotonically_increasing_id()
+    return saved(d.select(key, F.when(null, -1 - n).otherwise(n).alias("_o"), "text"), "keyed")
 
 
 def back(df: DataFrame) -> DataFrame:
-    """_d to doc_id again."""
-    return df.withColumn("doc_id", F.when(F.col("_d") != LEAST, F.col("_d"))).drop("_d")
+    """_d and _o to doc_id again."""
+    return df.withColumn("doc_id", real()).drop("_d", "_o")
+
+
+def real() -> Column:
+    """doc_id: _d, unless that stands for null."""
+    return F.when(F.col("_o") >= 0, F.col("_d"))
 
 
 class Hashes(dict):
@@ -112,8 +160,19 @@ def hexdigest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """Rows with the greatest c, all of one count or none of them, at most `most`. What comes to the driver is a histogram of counts, in logarithmic steps above 1000."""
+    step = F.when(F.col("c") <= 1000, F.col("c")).otherwise(1000 + F.floor(F.log2(F.col("c") / 1000) * 64)).cast("long")
+    least, upto = None, 0
+    for s, n in sorted(table.groupBy(step.alias("s")).count().collect(), reverse=True):
+        if (upto := upto + n) > most:
+            break
+        least = s
+    return table.filter(F.lit(False) if least is None else step >= least)
+
+
 def components(links: DataFrame, name: str = "cc") -> DataFrame:
-    """links (a, b) to (id, comp): the smallest id that links reach. Ids without links are not in it.
+    """links (a, b) to (id, comp, ...): the smallest id that links reach. Ids without links are not in it.
 
     Each round every id takes the least label around it and then that label's own label; tables go to the shared folder between rounds.
     """
@@ -124,6 +183,8 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         step = labels.join(near, "id").select("id", F.least("comp", "m").alias("new"), "comp")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("top"))
         after = saved(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("top", "new")).alias("comp"), F.col("comp").alias("was")), f"{name}-n")
-        labels = after.select("id", "comp")
+        dropped(labels)
         if after.filter("comp <> was").isEmpty():
-            return labels
+            dropped(both)
+            return after
+        labels = after

@@ -70,10 +70,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     hits = F.expr("""flatten(transform(cands, c -> transform(
         filter(sequence(0, size(c.ctx) - c.span), k -> c.at + k >= 0 and c.at + k + c.span <= size(ws) and slice(ws, c.at + k + 1, c.span) = slice(c.ctx, k + 1, c.span)),
         k -> named_struct('a', c.at + k, 'b', c.at + k + c.span, 'item', c.item))))""")
-    x = x.select("_d", "n_words", F.when(F.col("cands").isNotNull(), hits).alias("hits"))
+    x = x.select("_d", "_o", "n_words", F.when(F.col("cands").isNotNull(), hits).alias("hits"))
     spans = F.expr("aggregate(array_sort(array_distinct(transform(hits, h -> named_struct('a', h.a, 'b', h.b)))), named_struct('n', 0, 'upto', 0), (s, h) -> named_struct('n', s.n + greatest(0, h.b - greatest(h.a, s.upto)), 'upto', greatest(s.upto, h.b)), s -> s.n)")
-    x = x.select("_d", "n_words", F.coalesce(spans, F.lit(0)).cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(transform(coalesce(hits, array()), h -> h.item)))").alias("items"))
-    return back(x.select("_d", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.expr(f"n_hit > 0 and {share} * n_hit >= n_words").alias("contaminated")))
+    x = x.select("_d", "_o", "n_words", F.coalesce(spans, F.lit(0)).cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(transform(coalesce(hits, array()), h -> h.item)))").alias("items"))
+    return back(x.select("_d", "_o", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.expr(f"n_hit > 0 and {share} * n_hit >= n_words").alias("contaminated")))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

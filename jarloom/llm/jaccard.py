@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, read, saved, small_batches, with_keys, word_hashes
+from .common import U64, components, dropped, mix, read, real, saved, small, with_keys, word_hashes
 
 GRAM, PERCENT = 3, 90
 PARTS = 4  # fragments that a pair's overlap is counted in
@@ -72,10 +73,10 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 def first_pass(d: DataFrame, gram: int, percent: int) -> DataFrame:
     """Of each document a row (key null; cid and c2, the 128 bits of its set) and rows (key, cid) of its signatures."""
     names = ["key", "cid", "c2", "_d", "_o", "n"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int64()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(2).cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 128):
                 sets = shingle_sets(texts[a : a + 128], gram)
@@ -89,14 +90,14 @@ def first_pass(d: DataFrame, gram: int, percent: int) -> DataFrame:
                     m = len(keys[c : c + 20_000])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[c : c + m]), pa.array(own[c : c + m]), *(pa.nulls(m, k) for k in kinds[2:])], names)
 
-    return d.mapInArrow(run, "key long, cid long, c2 long, _d long, _o int, n long")
+    return d.mapInArrow(run, "key long, cid long, c2 long, _d long, _o long, n long")
 
 
 def segments(d: DataFrame, reps: DataFrame, gram: int) -> DataFrame:
     """(rid, n, part, seg): the shingle sets of representatives, cut into PARTS fragments of the global order; part -1 is the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 128):
                 rows = []
@@ -178,7 +179,9 @@ def members_near(members: DataFrame, percent: int) -> DataFrame:
     left = x.filter("outside").withColumn("other", F.explode(F.expr("sequence(0, rights)"))).select("centre", F.col("block").alias("i"), F.col("other").alias("j"), "rid", "n", "comp", "seg")
     right = x.withColumn("other", F.explode(F.expr("sequence(0, lefts)"))).select("centre", F.col("other").alias("i"), F.col("block").alias("j"), "rid", "n", "comp", "seg")
     left, right = left.toDF("c", "i", "j", "rid", "n", "comp", "seg"), right.toDF("c2", "i2", "j2", "rid", "n", "comp", "seg")
-    return left.groupBy("c", "i", "j").cogroup(right.groupBy("c2", "i2", "j2")).applyInPandas(run, "a long, b long").distinct()
+    out = saved(left.groupBy("c", "i", "j").cogroup(right.groupBy("c2", "i2", "j2")).applyInPandas(run, "a long, b long").distinct(), "jac-pairs")
+    dropped(numbered)
+    return out
 
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -194,9 +197,9 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     Pairs inside a component need no test, so a group of copies costs in proportion to its size, and copies that have drifted apart are not all compared. Links go to
     the shared folder, and components() follows them by labels in Spark.
 
-    Rows that share a doc_id are documents of their own with that id. A null doc_id comes before all others and is returned as null. Empty tables give no rows.
+    Rows that share a doc_id are documents of their own with that id. A null doc_id is returned as null and is no component's smallest, unless the component has no
+    other (component_id is null then). Empty tables give no rows.
     """
-    small_batches(docs.sparkSession, 512)
     d = with_keys(docs)
     rid = F.when(F.col("_o") == 0, F.col("_d")).otherwise(F.xxhash64("_d", "_o"))
     x = first_pass(d, gram, percent)
@@ -209,32 +212,33 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     classes = saved(sets.groupBy("cid", "c2").agg(F.min(F.struct("_d", "_o")).alias("r"), F.first("n").alias("n")).select("cid", "c2", "r.*", "n").withColumn("rid", rid), "jac-classes")
     groups = saved(x.filter("key is not null").select("key", "cid").distinct().join(classes.select("cid", "rid"), "cid").select("key", "rid"), "jac-groups")
     need = groups.select("rid").distinct().join(classes.select("rid", "_d", "_o"), "rid")
-    segs = saved(segments(d, need, gram), "jac-segments")
+    every = segs = saved(segments(d, need, gram), "jac-segments")
     least = W.partitionBy("key").orderBy("rid")
     star = groups.withColumn("a", F.first("rid").over(least)).filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
     star = saved(star, "jac-star")
     sketches, segs = segs.filter("part = -1"), segs.filter("part >= 0")
-    links = saved(linked(overlaps(saved(near_pairs(star, sketches, percent), "jac-near"), segs, percent), percent), "jac-links")
+    near = saved(near_pairs(star, sketches, percent), "jac-near")
+    found = [saved(linked(overlaps(near, segs, percent), percent), "jac-links")]
 
     def placed(x: DataFrame, of: str, name: str) -> DataFrame:
         return x.join(comps.select(F.col("id").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    comps = components(links, "jac-comp")
+    comps = components(found[0], "jac-comp")
     apart = placed(placed(star, "a", "home"), "b", "comp").select(F.col("a").alias("centre"), F.col("b").alias("rid"), "home", "comp")
     open_ = apart.groupBy("centre").agg(F.max(F.col("comp") != F.col("home")).alias("apart"), F.count("*").alias("m")).filter("apart and m > 1").select("centre")
     members = apart.join(open_, "centre", "left_semi").join(sketches.select("rid", "n", "seg"), "rid")
-    pairs = saved(members_near(members, percent), "jac-pairs")
+    pairs = members_near(members, percent)
+    dropped(comps)
     if not pairs.isEmpty():
-        links = links.union(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
-    comps = components(links, "jac-comp")
+        found.append(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
+    comps = components(reduce(DataFrame.union, found), "jac-comp")
+    dropped(groups, star, near, every, pairs, *found)
     # the smallest doc_id of a component, over all documents of its classes
     own = sets.join(classes.select("cid", "c2", "rid"), ["cid", "c2"]).join(comps.select(F.col("id").alias("rid"), "comp"), "rid", "left")
     alone = F.col("n") == 0
-    own = own.select("_d", F.col("n").alias("n_shingles"), F.when(~alone, F.coalesce("comp", "rid")).alias("c"))
-    least = own.filter("c is not null").groupBy("c").agg(F.min("_d").alias("component_id"))
-    own = own.join(least, "c", "left").withColumn("component_id", F.coalesce("component_id", "_d"))
-    undo = lambda c: F.when(F.col(c) != F.lit(-(2**63)), F.col(c)).alias(c.replace("_d", "doc_id") if c == "_d" else c)
-    return own.select(undo("_d"), "n_shingles", undo("component_id"))
+    own = own.select(real().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~alone, F.coalesce("comp", "rid")).alias("c"))
+    least = own.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))  # of a component
+    return own.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

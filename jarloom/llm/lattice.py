@@ -9,16 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, back, mix, read, saved, small_batches, with_keys
+from .common import U64, back, dropped, mix, most_frequent, read, saved, small, with_keys
 from .packing import tokenizer_file
 
 ROUNDS = 2
 SMOOTH = 0.1
-TOP_WORDS, TOP_BYTES = 400_000, 48  # the broadcast dictionary: at most so many words of at most so many bytes
+TOP_WORDS, TOP_BYTES = 400_000, 48  # the broadcast dictionary: at most so many words of at most so many bytes,
+TOP_LONG, LONG_BYTES = 4000, 2048  # and so many longer ones of at most so many bytes: below 30 MB
 VECTOR_BYTES = 64  # longer words go through the scalar recursion
 B, FINAL = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
 
@@ -174,7 +174,7 @@ def counted(d: DataFrame) -> DataFrame:
             words = [*held, *(w for w in seen if w not in held)]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held.get(w, 0) for w in words], pa.int64())], ["word", "c"])
 
-        for b in batches:
+        for b in small(batches):
             for text, out in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 (seen if out else held).update(text.lower().split())
             if len(held) + len(seen) > 400_000:
@@ -217,16 +217,16 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
     end, which share what the discount leaves. The probability is the sum over all segmentations, by forward recursion in logarithms; probabilities of all words sum to
     one. Pieces start with scores by their rank in the vocabulary; `rounds` of expectation maximization fit them to all distinct training words. Any byte is a piece in
     both forms, so every text has a probability. base_score is the add-0.1 unigram of
-    words. Words are counted in all documents and scored once each; the TOP_WORDS most frequent ones (of at most TOP_BYTES bytes: a bound on the broadcast) meet
-    documents in place, the others by a join on 64-bit word hashes, so that no frequent word goes to one task.
+    words. Words are counted in all documents and scored once each; the most frequent ones (TOP_WORDS of at most TOP_BYTES bytes, TOP_LONG longer ones of at
+    most LONG_BYTES: a bound on the broadcast) meet documents in place, the others by a join on the word, so that no frequent word goes to one task; Spark splits the
+    skewed rows of one that is longer still.
 
     A null text is empty: one end. Rows that share a doc_id are documents of their own. An empty table gives no rows; columns beyond doc_id and text are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000)
-    out = F.when(F.col("_d") == -(2**63), F.lit(0)).otherwise(F.crc32(F.col("_d").cast("string"))) % 10 == 0
+    out = F.when(F.col("_o") < 0, F.lit(0)).otherwise(F.crc32(F.col("_d").cast("string"))) % 10 == 0
     d = with_keys(docs).withColumn("held_out", out)
-    words = saved(counted(d), "lat-words")
+    words = saved(counted(d).repartition(4 * spark.sparkContext.defaultParallelism), "lat-words")  # all cores fit the pieces
     ends = d.filter("not held_out").count()
     n, v = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     once, twice = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -234,7 +234,6 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
     held, left = n, math.log(cut * v / n) if n else 0.0  # the log probability that a word is drawn in pieces
     n, v = n + ends, v + (ends > 0)
     lattice = Lattice(*vocabulary(vocabulary_path))
-    small_batches(spark, 100_000)
     train(words, lattice, rounds)
     p_end = math.log10((ends + SMOOTH) / (n + 2 * SMOOTH))
     go_on = math.log10(1 - (ends + SMOOTH) / (n + 2 * SMOOTH))
@@ -244,24 +243,24 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ws, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            h = np.array([xxhash.xxh64_intdigest(w) for w in ws], U64).view(np.int64)
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(c - cut, 0) / max(held, 1))
             lp = np.logaddexp(whole, given.value.log10(ws) * math.log(10) + left) / math.log(10) + go_on
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), b.column(1), pa.array(np.log10((c + 0.1) / low)), pa.array(lp)], ["word", "h", "c", "base", "lp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.log10((c + 0.1) / low)), pa.array(lp)], ["word", "c", "base", "lp"])
 
-    table = saved(words.mapInArrow(score, "word binary, h long, c long, base double, lp double"), "lat-table")
-    top = table.filter(F.length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word", "c", "base", "lp").toArrow()
+    table = saved(words.mapInArrow(score, "word binary, c long, base double, lp double"), "lat-table")
+    dropped(words)
+    long = table.filter((F.length("word") > TOP_BYTES) & (F.length("word") <= LONG_BYTES))
+    top = most_frequent(table.filter(F.length("word") <= TOP_BYTES), TOP_WORDS).unionByName(most_frequent(long, TOP_LONG)).toArrow()
     frequent = spark.sparkContext.broadcast((top.column(0).to_pylist(), np.stack([top.column(k).to_numpy().astype(float) for k in (1, 2, 3)], 1)))
-    small_batches(spark, 1000)
     first = np.array([ends > 0, math.log10((ends + 0.1) / low), p_end])  # of the end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["_d", "_o", "h", "n", "known", "base", "lp"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names, kinds = ["_d", "_o", "word", "n", "known", "base", "lp"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         index = {w: k for k, w in enumerate(frequent.value[0])}
         values = np.concatenate([frequent.value[1], np.zeros((1, 3))])
         values[:, 0] = values[:, 0] > 0
-        for b in batches:
+        for b in small(batches):
             ids, os = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             ws = [t.lower().split() for t in b.column(2).cast(pa.binary()).to_pylist()]
             many = np.array(list(map(len, ws)), np.int64)
@@ -269,19 +268,18 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
             got = np.fromiter((index.get(w, -1) for w in every), np.int64, len(every))
             of = np.repeat(np.arange(len(ws)), many)
             sums = [np.bincount(of, values[got, k], len(ws)) + first[k] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([ids, os, np.zeros_like(ids), many + 1, sums[0].astype(np.int64), sums[1], sums[2]], kinds, strict=True)], names).set_column(2, "h", pa.nulls(len(ws), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([ids, os, [None] * len(ws), many + 1, sums[0].astype(np.int64), sums[1], sums[2]], kinds, strict=True)], names)
             rare = np.flatnonzero(got < 0)
             for a in range(0, len(rare), 50_000):
                 part = rare[a : a + 50_000]
-                h = np.array([xxhash.xxh64_intdigest(every[k]) for k in part.tolist()], U64).view(np.int64)
                 none = pa.nulls(len(part), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of[part]]), pa.array(os[of[part]], pa.int32()), pa.array(h), none.cast(pa.int64()), none.cast(pa.int64()), none, none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[part]]), pa.array(os[of[part]]), pa.array([every[k] for k in part.tolist()], pa.binary()), none.cast(pa.int64()), none.cast(pa.int64()), none, none], names)
 
-    x = saved(d.select("_d", "_o", "text").mapInArrow(run, "_d long, _o int, h long, n long, known long, base double, lp double"), "lat-parts")
-    rare = x.filter("h is not null").select("_d", "_o", "h").join(table.select("h", F.col("c"), "base", "lp"), "h").select("_d", "_o", F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), "base", "lp")
-    total = x.filter("h is null").drop("h").unionByName(rare).groupBy("_d", "_o").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "lp")))
+    x = saved(d.select("_d", "_o", "text").mapInArrow(run, "_d long, _o long, word binary, n long, known long, base double, lp double"), "lat-parts")
+    rare = x.filter("word is not null").select("_d", "_o", "word").join(table, "word").select("_d", "_o", F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), "base", "lp")
+    total = x.filter("word is null").drop("word").unionByName(rare).groupBy("_d", "_o").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "lp")))
     total = total.withColumn("held_out", out)
-    return back(total.select("_d", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score")))
+    return back(total.select("_d", "_o", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score")))
 
 
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_use, read, saved, small_batches
+from .common import in_use, read, saved, small
 
 MAGIC = b"IDPACK01"
 BLOCK_IDS = 65_536
@@ -154,8 +154,6 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
     task encodes its range in order and cuts a record after RECORD_IDS ids, so a record's size is bounded by that and one document. A null or empty text gives its end
     id alone; an empty table gives no records. Other columns are not read. Records are stored through Spark's committer: a task that is run again leaves one copy.
     """
-    small_batches(docs.sparkSession, 512)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_use("ids", ENCODERS.clear)
         enc, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -165,7 +163,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
             data = write_record(doc_ids, counts, np.concatenate(pieces), enc.bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "record"])
 
-        for b in batches:
+        for b in small(batches):
             texts, of = b.column(1).cast(pa.binary()).to_pylist(), b.column(0).to_pylist()
             for k in range(0, len(texts), 128):
                 ids, n = enc(texts[k : k + 128], end_id)
@@ -203,7 +201,6 @@ def unpacked(records: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64(), mask=r.nulls.astype(bool)), pa.array(starts + base), pa.array(r.counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    records.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return x.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

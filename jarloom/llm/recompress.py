@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, back, hexdigest, mix, read, saved, small_batches, union_length, with_keys, word_hashes
-from .repeats import Prefix, compared, fetched, run_rows, runs, without
+from .common import U64, back, dropped, hexdigest, mix, read, saved, small, union_length, with_keys, word_hashes
+from .repeats import NONE_HOT, Hot, Prefix, compared, fetched, run_rows, runs, without
 
 WINDOW = 35
 ROUNDS, LEVELS = 5, (5, 3, 0)  # rounds of naming, and those after which symbols can be keys
 FAR = 1 << 40
+COMMON = U64(1 << 63)  # is added to keys that are not hot, so that they come first
 
 
 class Symbols:
@@ -73,8 +74,9 @@ class Symbols:
         self.keep(first, np.where(head, joined, self.name)[first])
 
 
-def keys(h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
-    """For the window at each place the longest symbol that the window itself fixes (of those the one with the largest name), from the highest level that has one."""
+def keys(h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, hot: Hot = NONE_HOT) -> np.ndarray:
+    """For the window at each place the symbol that the window itself fixes: one that is not hot if there is any, then of the highest level, the longest, and the one with the
+    largest name."""
     n, top = len(h), width.bit_length()
     best = np.zeros(n, U64)
     levels, x = {0: Symbols(h, doc)}, Symbols(h, doc)
@@ -89,7 +91,8 @@ def keys(h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, wid
         lo, hi = np.maximum(x.cr - width, start[x.doc]), np.minimum(x.cl, end[x.doc] - width)
         ok = np.flatnonzero(lo <= hi)
         lo, hi = lo[ok], hi[ok]
-        rank = (U64(level + 1) << U64(60)) | (np.minimum(x.e[ok] - x.s[ok], 255).astype(U64) << U64(52)) | (x.name[ok] >> U64(12))
+        rank = COMMON | (U64(level + 1) << U64(60)) | (np.minimum(x.e[ok] - x.s[ok], 255).astype(U64) << U64(52)) | (x.name[ok] >> U64(12))
+        rank[hot(rank)] ^= COMMON
         size = np.log2(hi - lo + 1).astype(np.int64)
         tables = [np.zeros(n, U64) for _ in range(top + 1)]
         for k in range(top + 1):
@@ -100,13 +103,13 @@ def keys(h: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, wid
             half = 1 << (k - 1)
             np.maximum(tables[k - 1], tables[k], out=tables[k - 1])
             np.maximum(tables[k - 1][half:], tables[k][:-half], out=tables[k - 1][half:])
-        best = np.where(best > 0, best, tables[0])
-        if level and not (best[: max(0, n - width + 1)] == 0).any():
+        best = np.maximum(best, tables[0])
+        if level and not (best[: max(0, n - width + 1)] < COMMON).any():
             break
     return best
 
 
-def word_runs(texts: list[bytes], width: int):
+def word_runs(texts: list[bytes], width: int, hot: Hot = NONE_HOT):
     words = [t.split() for t in texts]
     words = [w if len(w) >= width else [] for w in words]
     many = np.array(list(map(len, words)), np.int64)
@@ -121,7 +124,7 @@ def word_runs(texts: list[bytes], width: int):
     valid = np.arange(len(h)) <= (end - width)[doc]
     own = np.zeros(len(h), U64)
     own[: len(h) - width + 1] = prefix.windows(width)
-    key = keys(h, doc, start, end, width)
+    key = keys(h, doc, start, end, width, hot)
     first, n = runs(key, valid, doc, own)
     return doc[first], key[first], first - start[doc[first]], n, prefix.range(first, first + n + width - 1)
 
@@ -139,25 +142,26 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     A null text has no words. Rows that share a doc_id are documents of their own, so equal rows repeat each other. A null doc_id is returned as null. Empty tables give
     no rows. A group of copies costs in proportion to its size: no pairs are formed. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 512)
     d = with_keys(docs)
-    x = compared(run_rows(d, lambda texts: word_runs(texts, width)), "rec-rows")
+    x = compared(run_rows(d, lambda texts, hot: word_runs(texts, width, hot), every=True), "rec-rows")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             for k in range(b.num_rows):
                 own = Prefix(word_hashes(b.column(2)[k].as_py().encode().split())).windows(width)
                 asked = b.column(3)[k].as_py()
                 n = np.array([r["n"] for r in asked])
                 i = np.concatenate([np.arange(r["i0"], r["i0"] + r["n"]) for r in asked])
                 m = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r["key"] for r in asked], n)), pa.array(own[i].view(np.int64)), pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py(), np.int32)), pa.array(i.astype(np.int32)), pa.array(np.repeat([r["same"] for r in asked], n))], ["key", "fp", "_d", "_o", "i", "same"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r["key"] for r in asked], n)), pa.array(own[i].view(np.int64)), pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py())), pa.array(i.astype(np.int32)), pa.array(np.repeat([r["same"] for r in asked], n))], ["key", "fp", "_d", "_o", "i", "same"])
 
     ask = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "same"])
     from pyspark.sql import Window as W
 
-    each = ask.mapInArrow(windows, "key long, fp long, _d long, _o int, i int, same boolean").withColumn("many", F.count("*").over(W.partitionBy("key", "fp"))).filter("many > 1 and not same")
-    gone = x.filter("same").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each.select("_d", "_o", F.col("i").alias("a"), (F.col("i") + width).alias("b")))
+    each = ask.mapInArrow(windows, "key long, fp long, _d long, _o long, i int, same boolean").withColumn("many", F.count("*").over(W.partitionBy("key", "fp"))).filter("many > 1 and not same")
+    gone = x.filter("key is null or same").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each.select("_d", "_o", F.col("i").alias("a"), (F.col("i") + width).alias("b")))
+    gone = saved(gone, "rec-gone")
+    dropped(x)
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
         words = text.split()
@@ -168,7 +172,6 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         kept = b" ".join([words[k] for k in np.flatnonzero(~out)])
         return len(words), int(out.sum()), hexdigest(kept), kept.decode()
 
-    small_batches(docs.sparkSession, 512)
     return back(without(d, gone, cut, "n_words long, n_removed long, kept_sha256 string, kept string"))
 
 

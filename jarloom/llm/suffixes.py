@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, back, hexdigest, mix, read, saved, small_batches, union_length, with_keys
-from .repeats import Prefix, compared, fetched, run_rows, without
+from .common import U64, back, dropped, hexdigest, mix, read, saved, small, union_length, with_keys
+from .repeats import NONE_HOT, Hot, Prefix, compared, fetched, run_rows, without
 
 WIDTH, GRAM = 100, 28
 SPLIT_ROWS = 2000  # a key with more rows is cut by a second key
 BLOCK_BYTES = 8_000  # groups of keys are put in order together up to this
+GROUP_BYTES = 1_000_000  # a group with more text is not put in order in one task's memory
 LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -146,12 +147,13 @@ def suffix_array(s: list[int] | bytes) -> list[int]:
     return out
 
 
-def anchors(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, Prefix]:
-    """For the window at each place, where the leftmost of its least gram hashes stands; the gram hashes; hashes of any range."""
+def anchors(raw: np.ndarray, width: int, gram: int, hot: Hot = NONE_HOT) -> tuple[np.ndarray, np.ndarray, Prefix]:
+    """For the window at each place, where the leftmost of its least gram hashes stands, hot grams being greater than all others; the gram hashes; hashes of any range."""
     prefix = Prefix(LETTERS[raw])
     g = prefix.windows(gram)
     bits = U64(max(20, len(g).bit_length()))
-    v = ((g >> bits) << bits) | np.arange(len(g), dtype=U64)
+    v = ((g >> (bits + U64(1))) << bits) | np.arange(len(g), dtype=U64)
+    v[hot(g)] |= U64(1 << 63)
     size, want = 1, width - gram + 1
     while 2 * size <= want:
         v = np.minimum(v[:-size], v[size:])
@@ -161,7 +163,7 @@ def anchors(raw: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndar
     return (v & ((U64(1) << bits) - U64(1))).astype(np.int64), g, prefix
 
 
-def byte_runs(texts: list[bytes], width: int, gram: int):
+def byte_runs(texts: list[bytes], width: int, gram: int, hot: Hot = NONE_HOT):
     """Runs of windows with one anchor. Equal windows have their anchor at the same place in them, so a run holds no window twice."""
     texts = [t if len(t) >= width else b"" for t in texts]
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -171,7 +173,7 @@ def byte_runs(texts: list[bytes], width: int, gram: int):
     many = np.array(list(map(len, texts)), np.int64)
     end = np.cumsum(many)
     start = end - many
-    at, g, prefix = anchors(raw, width, gram)
+    at, g, prefix = anchors(raw, width, gram, hot)
     new = np.empty(len(at), bool)
     new[0] = True
     np.not_equal(at[1:], at[:-1], out=new[1:])
@@ -229,17 +231,17 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     Each window is keyed by the least hash of its `gram`-byte grams (leftmost of equals), so equal windows share a key. Under a key, runs of windows that cover equal text
     are settled by a hash of it: all but the earliest go. The different texts under a key are dealt together, and suffix_array() of them tells which of their windows are
-    equal. A key of more than SPLIT_ROWS texts is cut by the least hash among the other grams of each window, so that a frequent passage does not fill one task.
+    equal. A key of more than SPLIT_ROWS texts is cut by the least hash among the other grams of each window, so that a frequent passage does not fill one task. A
+    group that still has over GROUP_BYTES of text is compared window by window in Spark, which spills, so no task holds more than that.
 
-    A null text is empty. Rows that share a doc_id stand in order of their text, and equal ones in any order. A null doc_id comes before all others and is returned as
+    A null text is empty. Rows that share a doc_id stand in the order in which they are read. A null doc_id comes before all others and is returned as
     null. Empty tables give no rows. A group of copies costs in proportion to its size. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 512)
     d = with_keys(docs)
-    x = compared(run_rows(d, lambda texts: byte_runs(texts, width, gram)), "suf-rows")
+    x = compared(run_rows(d, lambda texts, hot: byte_runs(texts, width, gram, hot), every=False), "suf-rows")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             for k in range(b.num_rows):
                 text, rows = b.column(2)[k].as_py().encode(), []
                 for r in b.column(3)[k].as_py():
@@ -254,11 +256,12 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                     rows += [(r["key"], int(sub[a].view(np.int64)), r["i0"] + a, e - a, part[a : e + width - 1]) for a, e in zip(first.tolist(), [*first[1:].tolist(), len(sub)], strict=True)]
                 keys, subs, i0, n, parts = zip(*rows, strict=True)
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int32()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "text"])
 
     asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "rows"])
-    parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o int, i0 int, n int, text binary")
-    parts = parts.withColumn("bucket", F.xxhash64("key", "sub"))
+    parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, text binary")
+    parts = saved(parts.withColumn("bucket", F.xxhash64("key", "sub")), "suf-parts")
+    large = saved(parts.groupBy("bucket").agg(F.sum(F.length("text")).alias("s")).filter(F.col("s") > GROUP_BYTES).select("bucket"), "suf-large")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come sorted; some whole ones are put in order together. Equal windows have equal keys, so what stands beside a group does not matter."""
@@ -267,7 +270,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
         def done() -> pa.RecordBatch:
             got = list(earlier(held, width))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["_d", "_o", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["_d", "_o", "a", "b"])
 
         for b in batches:
             for key, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
@@ -280,11 +283,20 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         if held:
             yield done()
 
-    small_batches(docs.sparkSession, 2000)
-    shared = parts.select("bucket", "_d", "_o", "i0", "n", "text").repartition("bucket").sortWithinPartitions("bucket")
-    each = shared.mapInArrow(order, "_d long, _o int, a int, b int")
-    gone = x.filter("same and not first").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each)
+    rest, over = parts, None
+    if not large.isEmpty():
+        rest, over = parts.join(large, "bucket", "left_anti"), parts.join(large, "bucket", "left_semi")
+    shared = rest.select("bucket", "_d", "_o", "i0", "n", "text").repartition("bucket").sortWithinPartitions("bucket")
+    each = shared.mapInArrow(order, "_d long, _o long, a int, b int")
+    if over is not None:  # window by window: Spark adds up and spills
+        window = over.select("_d", "_o", "i0", "text", F.explode(F.expr("sequence(0, n - 1)")).alias("j")).select("_d", "_o", (F.col("i0") + F.col("j")).alias("a"), F.expr(f"substring(text, j + 1, {width})").alias("w"))
+        window = saved(window, "suf-windows")
+        least = window.groupBy("w").agg(F.min(F.struct("_d", "_o", "a")).alias("least"))
+        later = window.join(least, "w").filter(F.struct("_d", "_o", "a") != F.col("least"))
+        each = each.unionByName(later.select("_d", "_o", "a", (F.col("a") + width).alias("b")))
+    gone = x.filter("key is null or (same and not first)").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each)
     gone = saved(gone, "suf-gone")
+    dropped(x, parts, large, *([] if over is None else [window]))
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
         if not len(a):
@@ -293,7 +305,6 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         kept = np.frombuffer(text, np.uint8)[~out].tobytes()
         return len(text), int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hexdigest(kept), kept
 
-    small_batches(docs.sparkSession, 512)
     return back(without(d, gone, cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 

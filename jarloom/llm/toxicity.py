@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_use, read, saved, small_batches
+from .common import in_use, read, saved, small
 
 MOST_TOXIC, MOST_CLEAN = 1000, 2500  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
@@ -23,12 +23,13 @@ FOLD = 40  # classes of characters
 MARK = FOLD - 1  # stands before the first letter of a word
 PIECE = 12  # a longer unit is cut into overlapping pieces of this length
 LANDMARKS = 300
-SENTENCE = re.compile(r"[.!?\n]+\s|\n+")
+EXAMPLES, FREQUENT, OTHERS, MISTAKES, CANDIDATES = 2500, 400, 12_000, 4000, 600  # bounds of fit()
+SENTENCE = re.compile(rb"[.!?\n]+\s|\n+")
 REMEMBERED = 300_000
 SINGLE = -1e30  # the value that stands for a token of one character
 
 
-def code(text: str) -> list[int]:
+def code(text: str) -> bytes:
     """Letters and digits as classes behind MARK: a-z have their own, digits share one, others share the rest by code point. Nothing for a word without any."""
     out = [MARK]
     for c in text:
@@ -39,14 +40,14 @@ def code(text: str) -> list[int]:
             out.append(26)
         elif c.isalnum():
             out.append(27 + k % (MARK - 27))
-    return out if len(out) > 1 else []
+    return bytes(out) if len(out) > 1 else b""
 
 
-def pieces(unit: list[int]) -> list[tuple[int, ...]]:
+def pieces(unit: bytes) -> list[bytes]:
     """The whole of a short unit; overlapping pieces that cover a long one."""
     if len(unit) <= PIECE:
-        return [tuple(unit)]
-    return [tuple(unit[a : a + PIECE]) for a in range(0, len(unit) - PIECE + PIECE // 3, PIECE // 3)]
+        return [unit]
+    return [unit[a : a + PIECE] for a in range(0, len(unit) - PIECE + PIECE // 3, PIECE // 3)]
 
 
 class Spans:
@@ -77,36 +78,35 @@ def subsequences(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, w, np.sqrt(np.maximum(x.sum((1, 2)), 1e-30))
 
 
-def by_length(units: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n = np.array([len(u) for u in units])
     for length in np.unique(n):
         if length >= ORDER:
             which = np.flatnonzero(n == length)
-            for a in range(0, len(which), 4000):
-                yield which[a : a + 4000], np.array([units[k] for k in which[a : a + 4000]], np.int64)
+            for a in range(0, len(which), 500):
+                part = which[a : a + 500]
+                yield part, np.frombuffer(b"".join([units[k] for k in part]), np.uint8).reshape(-1, length).astype(np.int64)
 
 
-def kernel(units: list[tuple[int, ...]], marks: list[tuple[int, ...]]) -> np.ndarray:
-    """Normalized kernel of units with landmarks."""
+def kernel(units: list[bytes], marks: list[bytes]) -> np.ndarray:
+    """Normalized gap-weighted kernel of units with landmarks: products of their weights, summed over the subsequences that both have. Only these are gone through."""
     found = [(which, *subsequences(m)) for which, m in by_length(marks)]
-    own = np.unique(np.concatenate([np.zeros(0, np.int64), *(ids.ravel() for _, ids, _, _ in found)]))
-    row_of = np.zeros(FOLD**ORDER, np.int32)  # row 0 is for subsequences that no landmark has
-    row_of[own] = np.arange(1, len(own) + 1)
-    table = np.zeros((len(own) + 1, len(marks)), np.float32)
-    for which, ids, w, norm in found:
-        for k, row, z in zip(which, ids, norm, strict=True):
-            np.add.at(table[:, k], row_of[row], w / z)
+    ids = np.concatenate([np.zeros(0, np.int64), *(x.ravel() for _, x, _, _ in found)])
+    mark = np.concatenate([np.zeros(0, np.int64), *(np.repeat(which, x.shape[1]) for which, x, _, _ in found)])
+    weight = np.concatenate([np.zeros(0), *((w[None] / norm[:, None]).ravel() for _, _, w, norm in found)])
+    order = np.argsort(ids, kind="stable")
+    ids, mark, weight = ids[order], mark[order], weight[order]
     out = np.zeros((len(units), len(marks)), np.float32)
     for which, m in by_length(units):
-        for a in range(0, len(which), 50):
-            ids, w, norm = subsequences(m[a : a + 50])
-            rows = row_of[ids]
-            r, c = np.nonzero(rows)
-            sums = np.zeros((len(ids), len(marks)))
-            if len(r):
-                first = np.flatnonzero(np.diff(r, prepend=-1))
-                sums[r[first]] = np.add.reduceat(table[rows[r, c]] * w[c, None], first, axis=0)
-            out[which[a : a + 50]] = sums / norm[:, None]
+        for a in range(0, len(which), 100):
+            own, w, norm = subsequences(m[a : a + 100])
+            first = np.searchsorted(ids, own)
+            many = np.searchsorted(ids, own, side="right") - first
+            r, c = np.nonzero(many)
+            n = many[r, c]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r, c], n)
+            sums = np.bincount(np.repeat(r, n) * len(marks) + mark[at], np.repeat(w[c], n) * weight[at], len(own) * len(marks))
+            out[which[a : a + 100]] = sums.reshape(len(own), -1) / norm[:, None]
     return out
 
 
@@ -130,33 +130,49 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> n
     return w
 
 
-def units_of(text: str) -> list[tuple[int, ...]]:
-    """The units of a sentence: words without marks, and runs of ORDER and more single characters joined."""
-    out, run = [], []
-    for w in [code(x) for x in text.lower().split()] + [[]] * 2:
+def units_of(sentence: bytes) -> list[bytes]:
+    """The units of a sentence: words without marks, and runs of ORDER and more single characters joined. Words are separated by ASCII white space, here as in scoring."""
+    out, run = [], b""
+    for w in [code(x.decode(errors="ignore").lower()) for x in sentence.split()] + [b""] * 2:
         if len(w) == 2:
             run += w[1:] if run else w
             continue
         if len(run) > ORDER:
             out += pieces(run)
-        run = []
+        run = b""
         if len(w) > ORDER:
             out += pieces(w)
     return out
 
 
+def bag(text: bytes, one: dict) -> list[bytes]:
+    """The different units of a text's sentences; `one` holds each unit once for all texts."""
+    return sorted({one.setdefault(u, u) for s in SENTENCE.split(text) for u in units_of(s)})
+
+
 class Model:
     """f(unit) = theta . features(unit) / norm + bias: the machine with all landmarks folded into one weight for each subsequence. A text's score comes from its best unit."""
 
     def __init__(self):
         self.theta, self.bias, self.slope, self.shift = np.zeros(FOLD**ORDER, np.float32), 0.0, 0.0, -50.0
 
-    def values(self, units: list[tuple[int, ...]]) -> np.ndarray:
+    def values(self, units: list[bytes]) -> np.ndarray:
         out = np.full(len(units), self.bias)
         for which, m in by_length(units):
-            for a in range(0, len(which), 1000):
-                ids, w, norm = subsequences(m[a : a + 1000])
-                out[which[a : a + 1000]] = self.theta[ids] @ w / norm + self.bias
+            ids, w, norm = subsequences(m)
+            out[which] = self.theta[ids] @ w / norm + self.bias
+        return out
+
+    def pack(self) -> tuple:
+        """As a row (place, weight, bias, slope, shift): the weights that are not 0, a few hundred kB."""
+        at = np.flatnonzero(self.theta).astype("<i4")
+        return at.tobytes(), self.theta[at].astype("<f4").tobytes(), self.bias, self.slope, self.shift
+
+    @classmethod
+    def unpack(cls, place: bytes, weight: bytes, bias: float, slope: float, shift: float) -> Model:
+        out = cls()
+        out.theta[np.frombuffer(place, "<i4")] = np.frombuffer(weight, "<f4")
+        out.bias, out.slope, out.shift = bias, slope, shift
         return out
 
     def probability(self, best: np.ndarray) -> np.ndarray:
@@ -177,22 +193,24 @@ def dealt(lists: list[list]) -> list:
     return [x for x in dict.fromkeys(x for row in itertools.zip_longest(*lists) for x in row) if x is not None]
 
 
-def fit(texts: list[str], toxic: list[int], strata: list | None = None, seed: int = 3) -> Model:
-    """Learn from labelled texts, by sentences.
+def fit(of: list[list[bytes]], toxic: list[int], strata: list | None = None, seed: int = 3) -> Model:
+    """Learn from the units of labelled texts (bag()), by sentences.
 
     A toxic text has some toxic sentence, a clean one has none. Units found in more toxic texts than chance allows make the first positive examples, with copies that
     have a character inserted; chance is reckoned over all texts and within each stratum (such as a language), and strata take turns in examples and landmarks; units of sentences of clean texts are the negative ones. Landmarks are diverse positive units and frequent negative ones. The machine is
     trained, then once more with the best unit of the best sentence of each toxic text and the worst mistakes among the clean. A logistic curve over the best units of
     whole texts, through the cut with the fewest errors, gives the probability.
+
+    Bounds, whatever the size of the corpus: EXAMPLES positive units at first (and the best unit of each toxic text after that), FREQUENT of the most frequent clean units
+    of each stratum's turn and OTHERS drawn from the rest, MISTAKES of the clean units in the second round; the landmarks, LANDMARKS of them, are picked among the first
+    CANDIDATES of each kind.
     """
     model, rng = Model(), np.random.default_rng(seed)
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         model.shift = 50.0 if y.any() else -50.0
         return model
-    strata = strata or [""] * len(texts)
-    one: dict = {}  # each unit is held once
-    of = [sorted({one.setdefault(u, u) for s in SENTENCE.split(t) for u in units_of(s)}) for t in texts]
+    strata = strata or [""] * len(of)
     pos, neg = Counter(u for x, t in zip(of, y, strict=True) if t for u in x), Counter(u for x, t in zip(of, y, strict=True) if not t for u in x)
     np_, nn = int(y.sum()), int((~y).sum())
 
@@ -207,24 +225,24 @@ def fit(texts: list[str], toxic: list[int], strata: list | None = None, seed: in
         often = {g for g in gp if gp[g] >= 3}
         gn = Counter(g for x in off for g in set().union(*map(grams, x)) & often)
         stems = {g: r for g in often if (r := ratio(gp[g], gn[g])) >= 15}
-        return {u: max([ratio(p[u], q[u]) if p[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])]) for u in p}
+        return {u: r for u in p if (r := max([ratio(p[u], q[u]) if p[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])])) > 0} or dict.fromkeys(p, 0.0)
 
     within = [[k for k, s in enumerate(strata) if s == one] for one in sorted(set(strata), key=str)]
     found = [evidence(x) for x in within if y[x].any() and not y[x].all()] + ([evidence(list(range(len(of))))] if len(within) > 1 else [])
     ranked = [sorted(((r, u) for u, r in e.items()), reverse=True) for e in found]
-    good = dealt([[u for r, u in x if r >= 15] for x in ranked])[:2500] or dealt([[u for _, u in x[:10]] for x in ranked])[:10]
+    good = dealt([[u for r, u in x if r >= 15] for x in ranked])[:EXAMPLES] or dealt([[u for _, u in x[:10]] for x in ranked])[:10]
     if not good:
         return model
     by_frequency = lambda c: sorted(c, key=lambda u: (-c[u], u))
-    clean = dealt([by_frequency(Counter(u for k in x if not y[k] for u in of[k]))[:400] for x in within])[:400]
+    clean = dealt([by_frequency(Counter(u for k in x if not y[k] for u in of[k]))[:FREQUENT] for x in within])[:FREQUENT]
     clean += sorted(set(neg) - set(clean), key=lambda u: (-neg[u], u))
-    frequent = clean[:400]
-    rest = [clean[k] for k in sorted(rng.choice(np.arange(400, len(clean)), min(12_000, max(0, len(clean) - 400)), False))] if len(clean) > 400 else []
-    marks: list[tuple[int, ...]] = []
+    frequent = clean[:FREQUENT]
+    rest = [clean[k] for k in sorted(rng.choice(np.arange(FREQUENT, len(clean)), min(OTHERS, len(clean) - FREQUENT), False))] if len(clean) > FREQUENT else []
+    marks: list[bytes] = []
     for source, most in ((good, LANDMARKS * 2 // 3), (frequent, LANDMARKS)):
-        sims = kernel(source[:600], source[:600])
+        sims = kernel(source[:CANDIDATES], source[:CANDIDATES])
         chosen: list[int] = []
-        for k in range(min(600, len(source))):
+        for k in range(min(CANDIDATES, len(source))):
             if len(marks) + len(chosen) < most and (not chosen or sims[k, chosen].max() < 0.8):
                 chosen.append(k)
         marks += [source[k] for k in chosen]
@@ -233,7 +251,7 @@ def fit(texts: list[str], toxic: list[int], strata: list | None = None, seed: in
 
     def inserted(u):
         k = int(rng.integers(1, len(u)))
-        return (*u[:k], int(rng.integers(0, 26)), *u[k:])
+        return u[:k] + bytes([int(rng.integers(0, 26))]) + u[k:]
 
     def learn(p: list, n: list) -> None:
         p = p + [inserted(u) for u in p]
@@ -253,7 +271,7 @@ def fit(texts: list[str], toxic: list[int], strata: list | None = None, seed: in
     every = sorted(set(pos) | set(neg))
     f = dict(zip(every, model.values(every), strict=True))
     best = {max(x, key=lambda u: (f[u], u)) for x, t in zip(of, y, strict=True) if t and x}
-    wrong = sorted(neg, key=lambda u: (-f[u], u))[:4000]
+    wrong = sorted(neg, key=lambda u: (-f[u], u))[:MISTAKES]
     learn(sorted(set(good) | {u for u in best if f[u] > 0 and u not in neg}), list(dict.fromkeys(frequent + wrong + rest)))
     f.update(zip(every, model.values(every), strict=True))
     top = np.array([max((f[u] for u in x), default=model.bias) for x in of])
@@ -307,7 +325,7 @@ class Scorer:
             out[full] = np.maximum(self.model.bias, np.maximum.reduceat(f, (ends - many)[full]))
         single = f == SINGLE
         for k in np.unique(np.searchsorted(ends, np.flatnonzero(single[3:] & single[2:-1] & single[1:-2] & single[:-3]), side="right")).tolist():
-            runs = [u for u in units_of(" ".join(w.decode(errors="ignore") if s else "--" for w, s in zip(words[k], single[ends[k] - many[k] : ends[k]], strict=True)))]
+            runs = [u for u in units_of(b" ".join(w if s else b"--" for w, s in zip(words[k], single[ends[k] - many[k] : ends[k]], strict=True)))]
             if runs:
                 out[k] = max(out[k], float(self.model.values(runs).max()))
         return out
@@ -347,6 +365,25 @@ def sample(docs: DataFrame, known: DataFrame, most: dict[int, int]) -> DataFrame
     return x.sparkSession.createDataFrame([(int(i), int(t), s) for g in found for i, t, s in zip(g["doc_id"], g["toxic"], g["stratum"], strict=True)], "doc_id long, toxic int, stratum string")
 
 
+def learned(rows: DataFrame) -> tuple:
+    """fit() of rows (doc_id, text, toxic, stratum), a packed model. One task learns, so that a lost one is run again and the driver holds no texts; a text's units are
+    kept in place of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_use("fit", lambda: None)
+        one, of, toxic, strata = {}, [], [], []
+        for b in small(batches):
+            of += [bag(t, one) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            toxic += b.column(1).to_pylist()
+            strata += b.column(2).to_pylist()
+        del one
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in fit(of, toxic, strata).pack()], ["place", "weight", "bias", "slope", "shift"])
+
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic", "stratum")
+    found = rows.mapInArrow(run, "place binary, weight binary, bias double, slope double, shift double").collect()
+    return tuple(found[0]) if found else Model().pack()  # an empty table may have no task
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to docs with held_out, score and predicted in place of any columns of these names.
 
@@ -360,20 +397,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0))
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(remainder != 0)
     some = sample(docs, known, {1: most_toxic, 0: most_clean})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "toxic", "stratum").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    given = spark.sparkContext.broadcast(fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), rows["stratum"].tolist()))
-    small_batches(spark, 500)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "toxic", "stratum")
+    given = spark.sparkContext.broadcast(learned(rows))
     number = int(time.time_ns())  # which model a worker remembers tokens' values for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_use("values", SCORERS.clear)
         if number not in SCORERS:
             SCORERS.clear()
-            SCORERS[number] = Scorer(given.value)
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+            SCORERS[number] = Scorer(Model.unpack(*given.value))
+        for b in small(batches):
+            texts = [t or b"" for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
             score = SCORERS[number].model.probability(SCORERS[number].best(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jarloom.llm import chat, jaccard, lattice, mixing, neighbours, packing, recompress, suffixes, toxicity
+from jarloom.llm import chat, jaccard, lattice, mixing, neighbours, packing, recompress, repeats, suffixes, toxicity
 from jarloom.llm.decontaminate import decontaminate
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, text2 string, score string, a long"
@@ -54,6 +54,41 @@ def test_suffixes(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(kept).hexdigest())
 
 
+def brute_bytes(texts):
+    seen, out = set(), []
+    for t in texts:
+        b, gone = (t or "").encode(), set()
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone |= set(range(k, k + 100))
+            seen.add(b[k : k + 100])
+        out.append((len(b), len(gone), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("group", [1_000_000, 3000])
+def test_frequent_content(spark, monkeypatch, group):
+    """With frequent keys found in the sample, a line between others, a passage in many texts, periodic text, and groups that are too large for a task."""
+    monkeypatch.setattr(repeats, "SAMPLE_PART", 1)
+    monkeypatch.setattr(repeats, "HOT_LEAST", 3)
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffixes, "SPLIT_ROWS", 10)
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice("abcdefghijkl") * r.randint(1, 3) + str(r.randint(0, 99)) for _ in range(n))
+    line, passage, other = some(9), some(60), some(40)
+    texts = [" ".join([some(40), line, some(40)]) for _ in range(30)] + [" ".join([some(r.randint(0, 50)), passage, r.choice([other, some(50)])]) for _ in range(30)]
+    texts += ["ab cd " * 100, "ab cd " * 30 + passage, passage, passage, "z" * 700]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in suffixes.repeated_bytes(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_bytes(texts)
+    words, seen = [t.split() for t in texts], {}
+    for w in words:
+        for k in range(len(w) - 34):
+            seen[tuple(w[k : k + 35])] = seen.get(tuple(w[k : k + 35]), 0) + 1
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in recompress.repeated_words(frame(spark, texts)).collect()}
+    for i, w in enumerate(words):
+        assert got[i] == (len(w), len({p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)})), i
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(800):
