@@ -6,7 +6,6 @@ import itertools
 import math
 import re
 import time
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,12 +110,11 @@ def kernel(units: list[bytes], marks: list[bytes]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> np.ndarray:
-    """A linear machine with squared hinge loss, by Newton steps; the last coefficient is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    """A linear machine with squared hinge loss, by Newton steps; the last column of x is 1, and its coefficient the bias."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     for _ in range(50):
-        on = np.flatnonzero(y * (x @ w) < 1)
+        on = np.flatnonzero(y * np.concatenate([x[k : k + 1000].astype(float) @ w for k in range(0, len(x), 1000)]) < 1)
         left, right = ridge / c, np.zeros(x.shape[1])
         for k in range(0, len(on), 1000):  # a bounded copy at a time
             part = x[on[k : k + 1000]].astype(float)
@@ -179,13 +177,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -50, 50)))
 
 
-def likelihood_ratio(a: int, b: int, np_: int, nn: int) -> float:
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, np_: int, nn: int) -> np.ndarray:
     """Evidence that what is in a of np_ toxic texts and in b of nn clean ones is more frequent in the toxic ones."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+
+    def term(k: np.ndarray, n: int, s: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(s), 0) + np.where(n > k, (n - k) * np.log(1 - s), 0)
+
     p, q, r = a / np_, b / nn, (a + b) / (np_ + nn)
-    if p <= q:
-        return 0.0
-    term = lambda k, n, s: (k * math.log(s) if k else 0) + ((n - k) * math.log(1 - s) if n > k else 0)
-    return 2 * (term(a, np_, p) + term(b, nn, q) - term(a + b, np_ + nn, r))
+    return np.where(p <= q, 0.0, 2 * (term(a, np_, p) + term(b, nn, q) - term(a + b, np_ + nn, r)))
+
+
+class Grams:
+    """Of each unit the runs of ORDER characters in it, and its beginnings of up to three more, as numbers."""
+
+    def __init__(self, units: list[bytes]):
+        found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        power = 64 ** np.arange(ORDER + 3)
+        for which, m in by_length(units):
+            n, m = m.shape[1], m + 1
+            runs = [(which, m[:, k : k + ORDER] @ power[:ORDER]) for k in range(n - ORDER + 1)]
+            first = m[:, 0] == MARK + 1
+            runs += [(which[first], m[first, :k] @ power[:k]) for k in range(ORDER + 1, min(n, ORDER + 3) + 1)]
+            of += [x for x, _ in runs]
+            found += [x for _, x in runs]
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        self.of, self.gram = of[order], np.concatenate(found)[order]
+        self.at = np.searchsorted(self.of, np.arange(len(units) + 1))
+
+    def set_of(self, units: np.ndarray) -> np.ndarray:
+        """The different ones of some units."""
+        n = self.at[units + 1] - self.at[units]
+        return np.unique(self.gram[np.repeat(self.at[units] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+
+    def best(self, strong: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """For each of n units the greatest value of those of its grams that are among the strong ones (sorted), else 0."""
+        out = np.zeros(n)
+        if len(strong):
+            k = np.minimum(np.searchsorted(strong, self.gram), len(strong) - 1)
+            hit = np.flatnonzero(strong[k] == self.gram)
+            np.maximum.at(out, self.of[hit], value[k[hit]])
+        return out
 
 
 def dealt(lists: list[list]) -> list:
@@ -211,33 +245,43 @@ def fit(of: list[list[bytes]], toxic: list[int], strata: list | None = None, see
         model.shift = 50.0 if y.any() else -50.0
         return model
     strata = strata or [""] * len(of)
-    pos, neg = Counter(u for x, t in zip(of, y, strict=True) if t for u in x), Counter(u for x, t in zip(of, y, strict=True) if not t for u in x)
+    units = sorted({u for x in of for u in x})
+    index = {u: k for k, u in enumerate(units)}
+    texts = [np.array([index[u] for u in x], np.int64) for x in of]
+    del index
+    count = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int64), *(texts[k] for k in which)]), minlength=len(units))
+    pos, neg, grams = count(np.flatnonzero(y)), count(np.flatnonzero(~y)), Grams(units)
     np_, nn = int(y.sum()), int((~y).sum())
 
-    grams = lambda u: {u[k : k + ORDER] for k in range(len(u) - ORDER + 1)} | {u[:k] for k in range(ORDER + 1, min(len(u), ORDER + 3) + 1) if u[0] == MARK}
-
-    def evidence(which: list[int]) -> dict:
-        """Units of toxic texts among these by their own evidence, or by that of the strongest run of ORDER characters, or beginning of 4 to 6 letters, in them."""
-        on, off = [of[k] for k in which if y[k]], [of[k] for k in which if not y[k]]
-        ratio = lambda a, b: likelihood_ratio(a, b, len(on), len(off))
-        p, q = Counter(u for x in on for u in x), Counter(u for x in off for u in x)
-        gp = Counter(g for x in on for g in set().union(*map(grams, x)))
-        often = {g for g in gp if gp[g] >= 3}
-        gn = Counter(g for x in off for g in set().union(*map(grams, x)) & often)
-        stems = {g: r for g in often if (r := ratio(gp[g], gn[g])) >= 15}
-        return {u: r for u in p if (r := max([ratio(p[u], q[u]) if p[u] >= 2 else 0.0, *(stems.get(g, 0.0) for g in grams(u) if not neg[u])])) > 0} or dict.fromkeys(p, 0.0)
+    def evidence(which: list[int]) -> list[tuple[float, bytes]]:
+        """Units of toxic texts among these by their own evidence, or by that of the strongest run of ORDER characters, or beginning of 4 to 6 letters, in them; greatest first."""
+        on, off = [k for k in which if y[k]], [k for k in which if not y[k]]
+        p, q = count(on), count(off)
+        often, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(grams.set_of(texts[k]) for k in on)]), return_counts=True)
+        often, n = often[n >= 3], n[n >= 3]
+        clean = np.zeros(len(often) + 1, np.int64)
+        for k in off:
+            g = grams.set_of(texts[k])
+            at = np.searchsorted(often, g)
+            at = at[often[np.minimum(at, len(often) - 1)] == g] if len(often) else at[:0]
+            clean[at] += 1
+        r = likelihood_ratio(n, clean[:-1], len(on), len(off))
+        r = np.maximum(np.where(p >= 2, likelihood_ratio(p, q, len(on), len(off)), 0), np.where(neg == 0, grams.best(often[r >= 15], r[r >= 15], len(units)), 0))
+        r = np.where(p > 0, r, -1)
+        return sorted(((float(r[k]), units[k]) for k in np.flatnonzero(r > 0 if (r > 0).any() else r == 0)), reverse=True)
 
     within = [[k for k, s in enumerate(strata) if s == one] for one in sorted(set(strata), key=str)]
-    found = [evidence(x) for x in within if y[x].any() and not y[x].all()] + ([evidence(list(range(len(of))))] if len(within) > 1 else [])
-    ranked = [sorted(((r, u) for u, r in e.items()), reverse=True) for e in found]
+    ranked = [evidence(x) for x in within if y[x].any() and not y[x].all()] + ([evidence(list(range(len(of))))] if len(within) > 1 else [])
     good = dealt([[u for r, u in x if r >= 15] for x in ranked])[:EXAMPLES] or dealt([[u for _, u in x[:10]] for x in ranked])[:10]
     if not good:
         return model
-    by_frequency = lambda c: sorted(c, key=lambda u: (-c[u], u))
-    clean = dealt([by_frequency(Counter(u for k in x if not y[k] for u in of[k]))[:FREQUENT] for x in within])[:FREQUENT]
-    clean += sorted(set(neg) - set(clean), key=lambda u: (-neg[u], u))
-    frequent = clean[:FREQUENT]
-    rest = [clean[k] for k in sorted(rng.choice(np.arange(FREQUENT, len(clean)), min(OTHERS, len(clean) - FREQUENT), False))] if len(clean) > FREQUENT else []
+    by_frequency = lambda c: np.lexsort((np.arange(len(c)), -c))[: int((c > 0).sum())]
+    frequent = dealt([by_frequency(count([k for k in x if not y[k]]))[:FREQUENT].tolist() for x in within])[:FREQUENT]
+    others = np.setdiff1d(by_frequency(neg), frequent)
+    others = others[np.lexsort((others, -neg[others]))]
+    if len(others) > OTHERS:
+        others = others[np.sort(rng.choice(len(others), OTHERS, False))]
+    frequent, rest = [units[k] for k in frequent], [units[k] for k in others]
     marks: list[bytes] = []
     for source, most in ((good, LANDMARKS * 2 // 3), (frequent, LANDMARKS)):
         sims = kernel(source[:CANDIDATES], source[:CANDIDATES])
@@ -253,11 +297,16 @@ def fit(of: list[list[bytes]], toxic: list[int], strata: list | None = None, see
         k = int(rng.integers(1, len(u)))
         return u[:k] + bytes([int(rng.integers(0, 26))]) + u[k:]
 
-    def learn(p: list, n: list) -> None:
+    def learn(p: list[bytes], n: list[bytes]) -> None:
+        place = {u: k for k, u in enumerate(units)}
+        often = np.array([max(1, pos[place[u]]) for u in p] * 2 + [math.sqrt(max(1, neg[place[u]])) for u in n])
+        del place
         p = p + [inserted(u) for u in p]
-        x = kernel(p + n, marks) @ whiten.astype(np.float32)
+        each = p + n
+        x = np.ones((len(each), whiten.shape[1] + 1), np.float32)
+        for k in range(0, len(each), 2000):
+            x[k : k + 2000, :-1] = kernel(each[k : k + 2000], marks) @ whiten.astype(np.float32)
         t = np.array([1.0] * len(p) + [-1.0] * len(n))
-        often = np.array([max(1, pos[u]) for u in p[: len(p) // 2]] * 2 + [math.sqrt(max(1, neg[u])) for u in n])
         w = svm(x, t, often * np.where(t > 0, 0.5 / often[t > 0].sum(), 0.5 / often[t < 0].sum()) * len(t))
         alpha = whiten @ w[:-1]
         theta = np.zeros(FOLD**ORDER)
@@ -268,13 +317,12 @@ def fit(of: list[list[bytes]], toxic: list[int], strata: list | None = None, see
         model.theta, model.bias = theta.astype(np.float32), float(w[-1])
 
     learn(good, frequent + rest)
-    every = sorted(set(pos) | set(neg))
-    f = dict(zip(every, model.values(every), strict=True))
-    best = {max(x, key=lambda u: (f[u], u)) for x, t in zip(of, y, strict=True) if t and x}
-    wrong = sorted(neg, key=lambda u: (-f[u], u))[:MISTAKES]
-    learn(sorted(set(good) | {u for u in best if f[u] > 0 and u not in neg}), list(dict.fromkeys(frequent + wrong + rest)))
-    f.update(zip(every, model.values(every), strict=True))
-    top = np.array([max((f[u] for u in x), default=model.bias) for x in of])
+    f = model.values(units)
+    best = {x[np.lexsort((x, f[x]))[-1]] for x, t in zip(texts, y, strict=True) if t and len(x)}
+    wrong = np.lexsort((np.arange(len(f)), -np.where(neg > 0, f, -np.inf)))[: min(MISTAKES, int((neg > 0).sum()))]
+    learn(sorted(set(good) | {units[k] for k in best if f[k] > 0 and not neg[k]}), list(dict.fromkeys([*frequent, *(units[k] for k in wrong), *rest])))
+    f = model.values(units)
+    top = np.array([f[x].max() if len(x) else model.bias for x in texts])
     # the cut with the fewest errors, in the middle of the widest such gap; then the slope of the curve through it
     order = np.sort(np.unique(top))
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order

@@ -85,7 +85,7 @@ def test_filters_agree_with_their_operators(spark, name):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     got = {r.doc_id for r in getattr(P, name)(spark, docs, d).select("doc_id").collect()}
     if name == "drop_near_copies":
-        want = jaccard.jaccard_components(docs, 5, 80).filter("doc_id = component_id")
+        want = jaccard.jaccard_components(docs, P.GRAM, P.PERCENT).filter("doc_id = component_id")
     else:
         want = decontaminate(docs, spark.read.parquet(f"{d}/benchmark.parquet")).filter(~F.col("contaminated"))
     assert got == {r.doc_id for r in want.select("doc_id").collect()}
