@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 512, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut by rows and by bytes of a column (or one row): what Python objects are made of at a time. Spark bounds a batch itself by bytes
-    (spark.sql.execution.arrow.maxBytesPerBatch), so no setting of the session needs to change."""
+    """Batches cut by rows and by bytes of a column (or one row): what Python objects are made of at a time."""
     for b in batches:
         size = np.zeros(b.num_rows + 1, np.int64)
         np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False), out=size[1:])
@@ -54,12 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
 TABLES: dict[str, SparkSession] = {}  # paths of the tables that saved() has written and nothing has dropped
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and any executor can be lost. It stays until dropped(), released() or the end of the process."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While it lasts, Arrow batches have at most so many rows (null: as the session has it). What is executed inside is bounded by it; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(rows or before))
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def saved(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and any executor can be lost. It stays until dropped(), released() or the end of the process.
+
+    rows bounds Arrow batches on the way: texts in a batch are held several times over, by the JVM outside its heap and by Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     TABLES[path] = spark
-    df.write.option("compression", compression).parquet(path)
+    with batches_of(spark, rows):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

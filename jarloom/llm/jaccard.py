@@ -207,12 +207,12 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     deal = F.coalesce("key", F.xxhash64("_d", "_o"))
     key = W.partitionBy(deal, F.col("key").isNull())
     x = x.withColumns({"lo": F.min("cid").over(key), "hi": F.max("cid").over(key)}).filter("key is null or lo <> hi").drop("lo", "hi")
-    x = saved(x, "jac-first")
+    x = saved(x, "jac-first", rows=512)
     sets = x.filter("key is null").drop("key")
     classes = saved(sets.groupBy("cid", "c2").agg(F.min(F.struct("_d", "_o")).alias("r"), F.first("n").alias("n")).select("cid", "c2", "r.*", "n").withColumn("rid", rid), "jac-classes")
     groups = saved(x.filter("key is not null").select("key", "cid").distinct().join(classes.select("cid", "rid"), "cid").select("key", "rid"), "jac-groups")
     need = groups.select("rid").distinct().join(classes.select("rid", "_d", "_o"), "rid")
-    every = segs = saved(segments(d, need, gram), "jac-segments")
+    every = segs = saved(segments(d, need, gram), "jac-segments", rows=512)
     least = W.partitionBy("key").orderBy("rid")
     star = groups.withColumn("a", F.first("rid").over(least)).filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
     star = saved(star, "jac-star")

@@ -226,7 +226,7 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
     spark = docs.sparkSession
     out = F.when(F.col("_o") < 0, F.lit(0)).otherwise(F.crc32(F.col("_d").cast("string"))) % 10 == 0
     d = with_keys(docs).withColumn("held_out", out)
-    words = saved(counted(d).repartition(4 * spark.sparkContext.defaultParallelism), "lat-words")  # all cores fit the pieces
+    words = saved(counted(d).repartition(4 * spark.sparkContext.defaultParallelism), "lat-words", rows=1000)  # all cores fit the pieces
     ends = d.filter("not held_out").count()
     n, v = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     once, twice = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
@@ -275,7 +275,7 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
                 none = pa.nulls(len(part), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[of[part]]), pa.array(os[of[part]]), pa.array([every[k] for k in part.tolist()], pa.binary()), none.cast(pa.int64()), none.cast(pa.int64()), none, none], names)
 
-    x = saved(d.select("_d", "_o", "text").mapInArrow(run, "_d long, _o long, word binary, n long, known long, base double, lp double"), "lat-parts")
+    x = saved(d.select("_d", "_o", "text").mapInArrow(run, "_d long, _o long, word binary, n long, known long, base double, lp double"), "lat-parts", rows=1000)
     rare = x.filter("word is not null").select("_d", "_o", "word").join(table, "word").select("_d", "_o", F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), "base", "lp")
     total = x.filter("word is null").drop("word").unionByName(rare).groupBy("_d", "_o").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "lp")))
     total = total.withColumn("held_out", out)

@@ -179,7 +179,7 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(d.mapInArrow(encode, RECORD), "packed")
+    return saved(d.mapInArrow(encode, RECORD), "packed", rows=512)
 
 
 def unpacked(records: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def unpacked(records: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64(), mask=r.nulls.astype(bool)), pa.array(starts + base), pa.array(r.counts.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return x.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return saved(x.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"), "unpacked", rows=4)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

@@ -129,8 +129,8 @@ def word_runs(texts: list[bytes], width: int, hot: Hot = NONE_HOT):
     return doc[first], key[first], first - start[doc[first]], n, prefix.range(first, first + n + width - 1)
 
 
-def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text, ...) to doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space).
+def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) -> DataFrame:
+    """docs (doc_id, text, ...) to doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the words that stay, joined by one space), saved in the shared folder.
 
     A word goes if a window of `width` consecutive words that covers it has a word sequence that also starts anywhere else, in the same document or another. Words are
     separated by ASCII white space and unchanged; windows are judged on the input.
@@ -160,20 +160,17 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     each = ask.mapInArrow(windows, "key long, fp long, _d long, _o long, i int, same boolean").withColumn("many", F.count("*").over(W.partitionBy("key", "fp"))).filter("many > 1 and not same")
     gone = x.filter("key is null or same").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each.select("_d", "_o", F.col("i").alias("a"), (F.col("i") + width).alias("b")))
-    gone = saved(gone, "rec-gone")
+    gone = saved(gone, "rec-gone", rows=512)
     dropped(x)
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
         words = text.split()
-        if not len(a):
-            kept = b" ".join(words)
-            return len(words), 0, hexdigest(kept), kept.decode()
-        out = union_length(a, b, len(words))
-        kept = b" ".join([words[k] for k in np.flatnonzero(~out)])
-        return len(words), int(out.sum()), hexdigest(kept), kept.decode()
+        out = union_length(a, b, len(words)) if len(a) else np.zeros(len(words), bool)
+        kept = b" ".join([words[k] for k in np.flatnonzero(~out)] if len(a) else words)
+        return len(words), int(out.sum()), hexdigest(kept), *([kept.decode()] if texts else [])
 
-    return back(without(d, gone, cut, "n_words long, n_removed long, kept_sha256 string, kept string"))
+    return back(without(d, gone, cut, "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts))
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+    return repeated_words(read(spark, sf_dir, "documents"), texts=False)

@@ -106,7 +106,7 @@ def hot_keys(d: DataFrame, cut: Callable) -> Hot:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "c"])
 
     least = max(HOT_LEAST, HOT_SHARE * some.count())
-    x = saved(some.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "hot-keys")
+    x = saved(some.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "hot-keys", rows=512)
     out = Hot(most_frequent(x, HOT_MOST).toArrow().column("key").to_numpy().view(U64))
     dropped(x)
     return out
@@ -159,7 +159,7 @@ def compared(rows: DataFrame, name: str) -> DataFrame:
     x = x.withColumns({"rows": F.count("*").over(key), "mixed": (F.min("fp").over(key) != F.max("fp").over(key)) | (F.min("n").over(key) != F.max("n").over(key))})
     # a row that stands for several in one document, or whose others have gone, has no one left to go but itself
     x = x.filter("rows > 1 or key is null").select("_d", "_o", "key", "i0", "n", "m", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rows", (F.col("before") | F.col("after")).alias("same"), (~F.col("before")).alias("first"))
-    return saved(x, name)
+    return saved(x, name, rows=512)
 
 
 def only(d: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,4 +185,6 @@ def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in zip(*rows, strict=True))], ["_d", "_o", *names])
 
     x = d.join(by, ["_d", "_o"], "left").select("_d", "_o", "text", "a", "b")
-    return x.mapInArrow(run, f"_d long, _o long, {schema}")
+    out = saved(x.mapInArrow(run, f"_d long, _o long, {schema}"), "cut-out", rows=512)
+    dropped(gone)
+    return out

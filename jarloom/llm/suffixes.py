@@ -223,8 +223,8 @@ def earlier(rows: list[tuple[int, int, int, int, bytes]], width: int) -> Iterato
         yield d, o, i0 + int(place[gone[a]]), i0 + int(place[gone[e - 1]]) + width
 
 
-def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text, ...) to doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
+def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
+    """docs (doc_id, text, ...) to doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if `texts`, kept (the bytes that stay), saved in the shared folder.
 
     A byte of a text's UTF-8 goes if a `width`-byte string that covers it also starts earlier: in a document of smaller doc_id, or before in the same one. Strings are
     judged on the input, overlaps count, and matches never cross documents.
@@ -260,7 +260,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "rows"])
     parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, text binary")
-    parts = saved(parts.withColumn("bucket", F.xxhash64("key", "sub")), "suf-parts")
+    parts = saved(parts.withColumn("bucket", F.xxhash64("key", "sub")), "suf-parts", rows=512)
     large = saved(parts.groupBy("bucket").agg(F.sum(F.length("text")).alias("s")).filter(F.col("s") > GROUP_BYTES).select("bucket"), "suf-large")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,18 +295,16 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         later = window.join(least, "w").filter(F.struct("_d", "_o", "a") != F.col("least"))
         each = each.unionByName(later.select("_d", "_o", "a", (F.col("a") + width).alias("b")))
     gone = x.filter("key is null or (same and not first)").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each)
-    gone = saved(gone, "suf-gone")
+    gone = saved(gone, "suf-gone", rows=2000)
     dropped(x, parts, large, *([] if over is None else [window]))
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
-        if not len(a):
-            return len(text), 0, 0, hexdigest(text), text
-        out = union_length(a, b, len(text))
-        kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-        return len(text), int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hexdigest(kept), kept
+        out = union_length(a, b, len(text)) if len(a) else np.zeros(0, bool)
+        kept = np.frombuffer(text, np.uint8)[~out].tobytes() if len(a) else text
+        return len(text), int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hexdigest(kept), *([kept] if texts else [])
 
-    return back(without(d, gone, cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    return back(without(d, gone, cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+    return repeated_bytes(read(spark, sf_dir, "documents"), texts=False)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_use, read, saved, small
+from .common import dropped, in_use, read, saved, small
 
 MOST_TOXIC, MOST_CLEAN = 1000, 2500  # labelled documents that are learned from, at most
 ORDER, DECAY = 4, 0.6  # of the kernel: characters in a subsequence, weight of each place that it spans
@@ -400,8 +400,8 @@ def sample(docs: DataFrame, known: DataFrame, most: dict[int, int]) -> DataFrame
     ids = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("stratum"))
     x = known.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("stratum").alias("stratum"))
     x = saved(x.withColumn("place", F.xxhash64("doc_id") / 2.0**64 + 0.5), "toxic-labels")
-    names = [r.stratum for r in x.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(200).collect()]
-    x = x.withColumn("stratum", F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise(""))
+    some = [r.stratum for r in x.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(200).collect()]
+    x = x.withColumn("stratum", F.when(F.col("stratum").isin(some), F.col("stratum")).otherwise(""))
     counts = {(r.toxic, r.stratum): r["count"] for r in x.groupBy("toxic", "stratum").count().collect()}
     take: dict = {}
     for t, n in most.items():
@@ -428,12 +428,15 @@ def learned(rows: DataFrame) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in fit(of, toxic, strata).pack()], ["place", "weight", "bias", "slope", "shift"])
 
     rows = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic", "stratum")
-    found = rows.mapInArrow(run, "place binary, weight binary, bias double, slope double, shift double").collect()
+    out = saved(rows.mapInArrow(run, "place binary, weight binary, bias double, slope double, shift double"), "toxic-model", rows=500)
+    found = out.collect()
+    dropped(out)
     return tuple(found[0]) if found else Model().pack()  # an empty table may have no task
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to docs with held_out, score and predicted in place of any columns of these names.
+def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to docs (or those of its columns in `keep`) with held_out, score and predicted in place of any columns of
+    these names, saved in the shared folder.
 
     Learns from labelled documents whose crc32 of doc_id as text is not divisible by 5, at most `most_toxic` and `most_clean` of them: half dealt by
     how many a language has and half equally, in the order of a hash within each. The language is docs' lang, where there is one, and only picks what is learned from. A doc_id
@@ -457,12 +460,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, m
         for b in small(batches):
             texts = [t or b"" for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
             score = SCORERS[number].model.probability(SCORERS[number].best(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     d = docs.drop("held_out", "score", "predicted").withColumn("held_out", remainder == 0)
-    schema = T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return d.mapInArrow(run, schema)
+    names = [c for c in d.columns if keep is None or c in (*keep, "held_out")]
+    schema = T.StructType([*(f for f in d.schema.fields if f.name in names), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return saved(d.select("text", *(c for c in names if c != "text")).mapInArrow(run, schema), "toxic-scores", rows=500)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+    return toxicity(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"), keep=["doc_id"])
