@@ -14,11 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytecode import class_signature
 from ..functions.javasource import source_signatures
+from ..functions.names import loose_hash, loose_signature, tight_hash
 
 # fixed values: suffixes of what is scanned
 ZIPS = (".zip", ".war", ".ear", ".jar")
@@ -155,14 +156,76 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return x.filter((F.col("length") > 0) & F.lower("path").rlike("(" + "|".join(re.escape(s) for s in (*ZIPS, *TARS, *OTHERS)) + ")$")).select("path", "content")
 
 
-def loose_signature() -> Column:
-    """The signature with the package taken off its class line's name."""
-    return F.regexp_replace("signature", r"^(c;[^\n]*?\b(?:class|interface) )[^\s<]*[.]", "$1")
+def scan_paths(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """The files of a list of paths (path), such as query_list() gives; folders in it are searched as scan_folder() does. The list is what someone has typed or piped in, and
+    comes to the driver; the files do not."""
+    found = [r.path for r in paths.select("path").distinct().orderBy("path").collect()]
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found) if found else spark.createDataFrame([], "path string, length long, content binary")
+    return x.filter("length > 0").select("path", "content")
+
+
+def one_archive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files (path, content) without archives but the first by path, and E records of those that are left out."""
+    is_one = F.lower("path").rlike("(" + "|".join(re.escape(s) for s in (*ZIPS, *TARS, ".deb")) + ")$")
+    rest = is_one & (F.col("path") != F.lit(files.filter(is_one).agg(F.min("path")).first()[0]))
+    rest = F.coalesce(rest, F.lit(False))  # no archive at all
+    return files.filter(~rest), files.filter(rest).select(F.concat(F.lit("E;Skipped: ["), "path", F.lit("].  recursiveZips is set to false.")).alias("record"))
+
+
+def distinct_archives(files: DataFrame) -> DataFrame:
+    """files (path, content) with one of those that have the same content, base name and size: the first by path."""
+    x = files.withColumns({"sha": F.sha1("content"), "name": F.regexp_extract("path", r"([^/\\]*)$", 1), "size": F.length("content")})
+    least = x.groupBy("sha", "name", "size").agg(F.min("path").alias("path")).select("path")
+    return files.join(least, "path", "left_semi")
+
+
+def entries(files: DataFrame, recursive: bool = True) -> DataFrame:
+    """files (path, content) to what archives hold: archive, path, level, content. An archive is one task's work; with recursive, archives in it are opened too."""
+
+    def opened(archive: str, name: str, data: bytes, level: int) -> Iterator[tuple]:
+        for path, content in members(name, data):
+            yield archive, path, level, content
+            if recursive and is_archive(path):
+                yield from opened(f"{archive}!/{path}", path, content, level + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, data in zip(b["path"], b["content"], strict=True):
+                for r in opened(path, path, data, 0):
+                    yield pd.DataFrame([r], columns=["archive", "path", "level", "content"])
+
+    return files.filter("content is not null").filter(F.lower("path").rlike("(" + "|".join(re.escape(s) for s in (*ZIPS, *TARS, ".deb")) + ")$")).select("path", "content").mapInPandas(run, "archive string, path string, level int, content binary")
+
+
+def class_of(rows: DataFrame, target: str) -> DataFrame:
+    """Of rows of extract() the class that a target names: archive!/path;Class, or a path alone for its only class. The first by its full name, if there are several."""
+    named = ";" in target.rsplit("/", 1)[-1]
+    return rows.filter(F.col("kind").isin("bin", "src")).filter(F.col("fullpath") == target if named else F.col("fullpath").startswith(target + ";")).orderBy("fullpath").limit(1)
+
+
+def below(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose full path begins with a target's."""
+    return rows.filter(F.col("fullpath").startswith(prefix))
+
+
+def error_records(rows: DataFrame) -> DataFrame:
+    """E;path;message of rows that failed, newlines as blanks."""
+    return rows.filter("error is not null").select(F.concat_ws(";", F.lit("E"), F.concat("path", "basename", "suffix"), F.translate("error", "\n", " ")).alias("record"))
+
+
+def signature_text(rows: DataFrame, loose: bool = False) -> DataFrame:
+    """Signatures as text: a blank line, n;path, and the signature's lines, with loose without packages in the class's name."""
+    body = loose_signature(F.col("signature")) if loose else F.col("signature")
+    return rows.filter("signature is not null").select("fullpath", F.concat(F.lit("\nn;"), "fullpath", F.lit("\n"), body).alias("text"))
+
+
+def in_class_order(rows: DataFrame) -> DataFrame:
+    """Rows by package and class name."""
+    return rows.orderBy("package", "classname", "fullpath")
 
 
 def corpus_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of extract() to the tables files and sigs, each of distinct rows."""
     files = rows.filter("kind <> 'error' or classname is not null").select("path", "basename", "suffix", "level", "infilesha1", "filesha1").distinct()
-    tight = F.sha1(F.concat(F.trim("signature"), F.lit("\n")))
-    sigs = rows.filter("signature is not null").select("filesha1", "classname", tight.alias("sigsha1re"), F.sha1(F.concat(F.trim(loose_signature()), F.lit("\n"))).alias("losesigsha1re")).distinct()
+    sigs = rows.filter("signature is not null").select("filesha1", "classname", tight_hash(F.col("signature")).alias("sigsha1re"), loose_hash(F.col("signature")).alias("losesigsha1re")).distinct()
     return files, sigs

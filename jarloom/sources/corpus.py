@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import io
+import lzma
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import loose_text
 
 
+# columns of the corpus and of its records
+FILES = "path string, basename string, suffix string, level int, infilesha1 string, filesha1 string, uniqjavasigre long, uniqclasssigre long, java long, class long"
+SIGS = "filesha1 string, classname string, sigsha1re string, losesigsha1re string"
+FILE_FIELDS, SIG_FIELDS = ([x.split()[0] for x in t.split(", ")] for t in (FILES, SIGS))
+PREPARED: dict[str, tuple[str, str]] = {}  # where the tables of an input have been written
+
+
 def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """files and sigs: a document is an archive, named by its text's hash, and each of its different lines a class in it."""
+    """files and sigs: a document is an archive, named by its text's hash, and each of its different lines a class in it; as prepare() has written them, if it has.
+
+    A class file's hash is that of the line, its signature the line's first four words, its loose one the first two in lower case without blanks: files share signatures,
+    and different signatures a loose one. A class has names that differ between archives.
+    """
+    if sf_dir in PREPARED:
+        return tuple(spark.read.parquet(p) for p in PREPARED[sf_dir])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", "lang", "source", "text", F.sha1("text").alias("h"))
     base = F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.concat_ws("-", "lang", F.col("doc_id").cast("string")))
     top = docs.select(F.concat("source", F.lit("/")).alias("path"), base.alias("basename"), F.lit(".jar").alias("suffix"), F.lit(-1).alias("level"), F.lit(None).cast("string").alias("infilesha1"), F.col("h").alias("filesha1")).distinct()
     lines = docs.select("h", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''").distinct()
     kind = F.when((F.length("line") + F.ascii("h")) % 2 == 0, ".java").otherwise(".class")
-    kids = lines.select(F.lit("c/").alias("path"), F.substring("line", 1, 12).alias("basename"), kind.alias("suffix"), F.lit(0).alias("level"), F.col("h").alias("infilesha1"), F.sha1("line").alias("filesha1"))
-    sigs = lines.select(F.sha1("line").alias("filesha1"), F.substring("line", 1, 12).alias("classname"), F.sha1("line").alias("sigsha1re"), F.sha1(loose_text(F.col("line"))).alias("losesigsha1re")).distinct()
-    return top.unionByName(kids.distinct()), sigs
+    name = F.concat(F.substring("line", 1, 12), F.lit("-"), (F.ascii("h") % 3).cast("string"))
+    kids = lines.select(F.lit("c/").alias("path"), name.alias("basename"), kind.alias("suffix"), F.lit(0).alias("level"), F.col("h").alias("infilesha1"), F.sha1("line").alias("filesha1"))
+    sigs = lines.select("line").distinct().select(F.sha1("line").alias("filesha1"), F.substring("line", 1, 12).alias("classname"), F.sha1(F.substring_index("line", " ", 4)).alias("sigsha1re"), F.sha1(loose_text(F.substring_index("line", " ", 2))).alias("losesigsha1re"))
+    return top.unionByName(kids.distinct()), sigs.distinct()
+
+
+def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write the corpus tables of an input once; derived() reads them from then on."""
+    paths = f"{folder}/files", f"{folder}/sigs"
+    for df, p in zip(derived(spark, sf_dir), paths, strict=True):
+        df.write.mode("overwrite").parquet(p)
+    PREPARED[sf_dir] = paths
 
 
 def tallies(files: DataFrame, sigs: DataFrame, col: str = "sigsha1re") -> DataFrame:
@@ -36,18 +63,38 @@ def with_tallies(files: DataFrame, counted: DataFrame, only_missing: bool) -> Da
 
 
 def file_records(files: DataFrame) -> DataFrame:
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in ("path", "basename", "suffix", "level", "infilesha1", "filesha1")]
-    return files.select(F.concat_ws(";", F.lit("F"), *text, *[F.lit("\\N")] * 4).alias("record"))
+    """F records; columns that the table lacks are \\N."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) if c in files.columns else F.lit("\\N") for c in FILE_FIELDS]
+    return files.select(F.concat_ws(";", F.lit("F"), *text).alias("record"))
 
 
 def sig_records(sigs: DataFrame) -> DataFrame:
-    return sigs.select(F.concat_ws(";", F.lit("S"), "filesha1", "classname", "sigsha1re", "losesigsha1re").alias("record"))
+    return sigs.select(F.concat_ws(";", F.lit("S"), *SIG_FIELDS).alias("record"))
 
 
 def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records to files and sigs; \\N and NULL are null. Fields hold no semicolons: lines with another number of them are not records."""
+    """Records to files and sigs, whole tables; \\N and NULL are null. Fields hold no semicolons: lines with another number of them are not records."""
     parts = records.select(F.split("record", ";").alias("p"))
     field = lambda k: F.when(~F.col("p")[k].isin("\\N", "NULL"), F.col("p")[k])
-    files = parts.filter((F.col("p")[0] == "F") & (F.size("p") == 11)).select(*(field(k + 1).alias(c) for k, c in enumerate(("path", "basename", "suffix", "level", "infilesha1", "filesha1"))))
-    sigs = parts.filter((F.col("p")[0] == "S") & (F.size("p") == 5)).select(*(field(k + 1).alias(c) for k, c in enumerate(("filesha1", "classname", "sigsha1re", "losesigsha1re"))))
-    return files.withColumn("level", F.col("level").cast("int")), sigs
+    table = lambda tag, schema: parts.filter((F.col("p")[0] == tag) & (F.size("p") == len(schema.split(", ")) + 1)).select(*(field(k + 1).cast(c.split()[1]).alias(c.split()[0]) for k, c in enumerate(schema.split(", "))))
+    return table("F", FILES), table("S", SIGS)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of record files as rows (record), of files that end in .xz too; such a file is unpacked as a stream by one task."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").option("recursiveFileLookup", "true").load(path).select("content")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                out = []
+                with lzma.open(io.BytesIO(b.column(0)[k].as_buffer())) as f:
+                    for line in f:
+                        out.append(line.rstrip(b"\r\n").decode())
+                        if len(out) == 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array(out)], ["record"])
+                            out = []
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["record"])
+
+    plain = spark.read.option("recursiveFileLookup", "true").text(path).filter(~F.col("_metadata.file_name").endswith(".xz"))  # files are left out, not lines
+    return plain.select(F.col("value").alias("record")).unionByName(x.mapInArrow(lines, "record string"))

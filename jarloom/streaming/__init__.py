@@ -1 +1 @@
-
+"""Structured Streaming: the corpus as records arrive."""

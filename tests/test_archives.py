@@ -12,6 +12,8 @@ import zipfile
 import pytest
 
 from jarloom.functions.bytecode import Types, class_signature, method_types
+from jarloom.functions import names
+from jarloom.sources import archives, lists
 from jarloom.sources.archives import corpus_of, extract, members, scan_folder, scanned
 
 JAVA = """package p;
@@ -161,3 +163,54 @@ def test_folder_to_corpus(spark, classes, tmp_path):
 
 def test_no_files(spark):
     assert extract(spark.createDataFrame([], "path string, content binary")).count() == 0
+
+
+def jar_of(**files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in files.items():
+            z.writestr(name.replace("_", "."), data)
+    return out.getvalue()
+
+
+def test_entries_of_nested_archives(spark):
+    inner = jar_of(a_txt=b"A")
+    df = spark.createDataFrame([("x/o.jar", jar_of(in_zip=inner, b_txt=b"B")), ("x/no.txt", b"q")], "path string, content binary")
+    got = {(r.archive, r.path, r.level, bytes(r.content)) for r in archives.entries(df).collect()}
+    assert got == {("x/o.jar", "in.zip", 0, inner), ("x/o.jar", "b.txt", 0, b"B"), ("x/o.jar!/in.zip", "a.txt", 1, b"A")}
+    assert {r.path for r in archives.entries(df, recursive=False).collect()} == {"in.zip", "b.txt"}
+
+
+def test_one_archive_and_duplicates(spark):
+    df = spark.createDataFrame([("a.jar", b"1"), ("b.zip", b"2"), ("c.class", b"3"), ("d/a.jar", b"1")], "path string, content binary")
+    kept, skipped = archives.one_archive(df)
+    assert {r.path for r in kept.collect()} == {"a.jar", "c.class"}
+    assert {r.record for r in skipped.collect()} == {"E;Skipped: [b.zip].  recursiveZips is set to false.", "E;Skipped: [d/a.jar].  recursiveZips is set to false."}
+    assert {r.path for r in archives.distinct_archives(df).collect()} == {"a.jar", "b.zip", "c.class"}
+    assert archives.one_archive(df.filter("path = 'c.class'"))[0].count() == 1
+
+
+def test_paths_classes_and_text(spark, tmp_path):
+    (tmp_path / "x.jar").write_bytes(jar_of(**{"A_java": b"package p.q; class A { int x; } class B { java.util.List<String> y; }"}))
+    (tmp_path / "bad.java").write_bytes(b"class {")
+    listed = lists.query_list(spark.createDataFrame([(f"1;file:{tmp_path}/x.jar",), (f"file:{tmp_path}/bad.java",)], "value string"))
+    rows = extract(archives.scan_paths(spark, listed))
+    target = rows.filter("classname = 'B'").first().fullpath
+    assert target.endswith("x.jar!/A.java;B")
+    one = archives.class_of(rows, target).collect()
+    assert [r.classname for r in one] == ["B"] and archives.class_of(rows, target.removesuffix(";B")).first().classname == "A"
+    assert archives.below(rows, target[:-1]).count() == 2
+    assert [r.classname for r in archives.in_class_order(rows.filter("kind = 'src'")).collect()] == ["A", "B"]
+    text = archives.signature_text(archives.class_of(rows, target), loose=True).first().text
+    assert text.startswith(f"\nn;{target}\nc;0;class B\nf;0;  List<String> y;\n")
+    assert all(r.record.startswith("E;") and "\n" not in r.record for r in archives.error_records(rows).collect()) and archives.error_records(rows).count() == 1
+    files, sigs = corpus_of(rows)
+    assert sigs.filter("sigsha1re <> losesigsha1re").count() == 2
+
+
+def test_loose_signatures(spark):
+    given = {"c;0;public class a.b.C<T extends x.y.Z>\nm;0;  p.Q r()": "c;0;public class C<T extends x.y.Z>\nm;0;  p.Q r()", "c;0;interface a.B<x.Y<z.W>>": "c;0;interface B<Y<W>>", "c;0;class C$D extends q.R\t": "c;0;class D extends q.R", "e;class a.B": "e;class a.B", "c;0;class Plain": "c;0;class Plain"}
+    df = spark.createDataFrame([(k,) for k in given], "s string")
+    assert {r.s: r.t for r in df.select("s", names.loose_signature(df.s).alias("t")).collect()} == given
+    one = df.select(names.tight_hash(df.s).alias("h")).first().h
+    assert one == hashlib.sha1((next(iter(given)) + "\n").encode()).hexdigest()

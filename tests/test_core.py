@@ -1,3 +1,5 @@
+import lzma
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from jarloom.functions.names import milli, ratio_text
 from jarloom.operators import evaluate
 from jarloom.plans import registry
+from jarloom.sources import corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +19,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "part", "documents"):
+    for t in ("region", "nation", "customer", "supplier", "orders", "part", "documents"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -37,6 +40,55 @@ def test_published_ratios(spark):
 def test_subjects_without_candidates_and_of_the_same_family(spark):
     subjects = spark.createDataFrame([("h1", "ant-1.0.jar"), ("h2", "ivy-2.0.jar"), ("h3", "log-1.0.jar")], "subject string, name string")
     results = spark.createDataFrame([("h1", 1, 5, 900, "x1", "ANT-1.1.jar"), ("h3", 1, 5, 900, "x2", "ivy-2.1.jar")], "subject string, rank long, a_intersect_b long, jaccard_m long, filesha1 string, artifact string")
-    classes = evaluate.classified_subjects(subjects, results, subjects.select("subject", F.col("subject").alias("target")))
+    classes = evaluate.classified(results, subjects.select("subject", F.col("subject").alias("target")), subjects)
     assert {r.subject: (r.verdict, r.related_rank) for r in classes.collect()} == {"h1": ("CORRECT", 1), "h2": ("NO_MATCH", None), "h3": ("WRONG", None)}
     assert {r.verdict: r.n for r in evaluate.totals(classes).collect()} == {"CORRECT": 1, "NO_MATCH": 1, "WRONG": 1, "TOTAL": 3}
+
+
+def rows_of(db, name):
+    return set(map(str, db.sql(registry.oracle_sql()[name]).fetchall()))
+
+
+def test_greens_tell_columns_apart():
+    """The derived corpus gives different answers for files, signatures and loose signatures, and every verdict."""
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    bin2bin, filehash, loose, compat = (rows_of(db, n) for n in ("bin2bin_default", "filehash_match", "loose_match", "loose_match_tight_tally"))
+    assert bin2bin != filehash and bin2bin != loose and filehash != loose and compat != loose
+    matrix = db.sql(registry.oracle_sql()["evaluation_matrix"]).fetchall()
+    assert all(sum(r[k] for r in matrix) > 0 for k in range(2, 6))
+    for p in (lambda s: [x for x in s if "True" in x],):
+        assert p(rows_of(db, "tie_flags"))
+
+
+def test_subject_filter_is_below_the_join(spark):
+    plan = registry.queries()["bin2bin_subject"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_result_tree_is_written(spark, tmp_path):
+    results = spark.createDataFrame([("h1", 1, 5, 1000, "h1", "a-1.jar")], "subject string, rank long, a_intersect_b long, jaccard_m long, filesha1 string, artifact string")
+    truth = spark.createDataFrame([("h1", "h1"), ("h2", "h2")], "subject string, target string")
+    classes = evaluate.classified(results, truth, truth.select("subject", F.lit("a-1.jar").alias("name")))
+    evaluate.write_results(results, classes, spark.createDataFrame([("h1", "JAR-SHA1-TRUTH")], "subject string, truth_source string"), f"{tmp_path}/tree")
+    got = {(r.subject, r.truth_source, r.folder, r.artifact) for r in spark.read.parquet(f"{tmp_path}/tree").collect()}
+    assert got == {("h1", "JAR-SHA1-TRUTH", "SINGLE-PERFECT-1.000", "a-1.jar"), ("h2", "NEW-ANALYSIS", "NO_MATCH", None)}
+
+
+def test_prepared_tables_give_the_same(spark, tmp_path):
+    before = plain(registry.queries()["bin2bin_default"](spark, SF).collect())
+    corpus.prepare(spark, SF, f"{tmp_path}/corpus")
+    try:
+        assert plain(registry.queries()["bin2bin_default"](spark, SF).collect()) == before
+    finally:
+        corpus.PREPARED.clear()
+
+
+def test_records_are_read_from_xz_too(spark, tmp_path):
+    files, sigs = corpus.derived(spark, SF)
+    (tmp_path / "a").mkdir()
+    lines = [r.record for r in corpus.sig_records(sigs).collect()]
+    (tmp_path / "a/x.txt").write_text("\n".join(lines[:100]) + "\n")
+    (tmp_path / "a/y.xz").write_bytes(lzma.compress(("\n".join(lines[100:]) + "\n").encode()))
+    got = corpus.parse_records(corpus.read_records(spark, f"{tmp_path}/a"))[1]
+    assert plain(got.collect()) == plain(sigs.collect())
