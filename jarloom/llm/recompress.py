@@ -116,7 +116,7 @@ def word_runs(texts: list[bytes], width: int, hot: Hot = NONE_HOT):
     h = word_hashes([w for ws in words for w in ws])
     if not len(h):
         none = np.zeros(0, np.int64)
-        return none, none.view(U64), none, none, none.view(U64)
+        return none, none.view(U64), none, none, none.view(U64), none
     end = np.cumsum(many)
     start = end - many
     doc = np.repeat(np.arange(len(words)), many)
@@ -126,7 +126,7 @@ def word_runs(texts: list[bytes], width: int, hot: Hot = NONE_HOT):
     own[: len(h) - width + 1] = prefix.windows(width)
     key = keys(h, doc, start, end, width, hot)
     first, n = runs(key, valid, doc, own)
-    return doc[first], key[first], first - start[doc[first]], n, prefix.range(first, first + n + width - 1)
+    return doc[first], key[first], first - start[doc[first]], n, prefix.range(first, first + n + width - 1), 0 * first
 
 
 def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, dropped, mix, most_frequent, saved, small
 
-ROWS = "_d long, _o long, key long, i0 int, n int, fp long, m int"  # m: how many equal runs it stands for; key is null for a run that is known to go
+ROWS = "_d long, _o long, key long, i0 int, n int, fp long, p int, m int"  # p: where in the run its key stands; m: how many equal runs it stands for; key is null for a run that is known to go
 SAMPLE_PART, HOT_SHARE, HOT_LEAST, HOT_MOST = 32, 0.001, 24, 100_000  # a key is hot in so large a share of a sample of documents, and so many times; so many keys at most
 HELD_ROWS = 200_000  # runs that are added up at a time
 BROADCAST_ROWS = 1_000_000
@@ -113,13 +113,13 @@ def hot_keys(d: DataFrame, cut: Callable) -> Hot:
 
 
 def run_rows(d: DataFrame, cut: Callable, every: bool) -> DataFrame:
-    """cut(texts, hot) to (index of text, key, i0, n, fp). Equal runs of a stretch of documents are one row, the earliest; the others go, and this one too if `every`."""
+    """cut(texts, hot) to (index of text, key, i0, n, fp, p). Equal runs of a stretch of documents are one row, the earliest; the others go, and this one too if `every`."""
     given = d.sparkSession.sparkContext.broadcast(hot_keys(d, cut))
 
     def added_up(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        d_, o, key, i0, n, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        d_, o, key, i0, n, fp, p_ = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((i0, o, d_, fp, n, key))
-        d_, o, key, i0, n, fp = (x[order] for x in (d_, o, key, i0, n, fp))
+        d_, o, key, i0, n, fp, p_ = (x[order] for x in (d_, o, key, i0, n, fp, p_))
         new = np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (fp[1:] != fp[:-1]))[: len(key)]
         first = np.flatnonzero(new)
         m = np.diff(first, append=len(key))
@@ -128,17 +128,17 @@ def run_rows(d: DataFrame, cut: Callable, every: bool) -> DataFrame:
             gone[first[m > 1]] = True
         a, b = first, np.flatnonzero(gone)
         no = np.ones(len(b), bool)
-        columns = [np.concatenate([x[a], x[b]]) for x in (d_, o, key.view(np.int64), i0.astype(np.int32), n.astype(np.int32), fp.view(np.int64))] + [np.concatenate([m, 0 * b]).astype(np.int32)]
+        columns = [np.concatenate([x[a], x[b]]) for x in (d_, o, key.view(np.int64), i0.astype(np.int32), n.astype(np.int32), fp.view(np.int64), p_.astype(np.int32))] + [np.concatenate([m, 0 * b]).astype(np.int32)]
         none = np.concatenate([np.zeros(len(a), bool), no])
         for c in range(0, len(none), 50_000):
             p = slice(c, c + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[p], mask=none[p] if k in (2, 5) else None) for k, x in enumerate(columns)], ["_d", "_o", "key", "i0", "n", "fp", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[p], mask=none[p] if k in (2, 5) else None) for k, x in enumerate(columns)], ["_d", "_o", "key", "i0", "n", "fp", "p", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for ids, os, texts in texts_of(batches):
-            of, key, i0, n, fp = cut(texts, given.value)
-            held.append((ids[of], os[of], key, i0, n, fp))
+            of, *rest = cut(texts, given.value)
+            held.append((ids[of], os[of], *rest))
             rows += len(of)
             if rows >= HELD_ROWS:
                 yield from added_up(held)
@@ -151,14 +151,13 @@ def run_rows(d: DataFrame, cut: Callable, every: bool) -> DataFrame:
 
 def compared(rows: DataFrame, name: str) -> DataFrame:
     """Rows under keys of several rows, with same (another row covers equal text), first (the earliest of those) and mixed (the key has several texts); and the rows without a key."""
-    deal = F.coalesce("key", F.xxhash64("_d", "_o", "i0"))
-    key = W.partitionBy(deal, F.col("key").isNull())
+    rows = rows.withColumns({"deal": F.coalesce("key", F.xxhash64("_d", "_o", "i0")), "gone": F.col("key").isNull()})  # columns, or each window would shuffle anew
+    key = W.partitionBy("deal", "gone")
     order = key.orderBy("n", "fp", "_d", "_o", "i0")
     equal = lambda f: F.coalesce((f("n").over(order) == F.col("n")) & (f("fp").over(order) == F.col("fp")), F.lit(False))
     x = rows.withColumns({"before": equal(F.lag), "after": equal(F.lead)})
     x = x.withColumns({"rows": F.count("*").over(key), "mixed": (F.min("fp").over(key) != F.max("fp").over(key)) | (F.min("n").over(key) != F.max("n").over(key))})
-    # a row that stands for several in one document, or whose others have gone, has no one left to go but itself
-    x = x.filter("rows > 1 or key is null").select("_d", "_o", "key", "i0", "n", "m", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rows", (F.col("before") | F.col("after")).alias("same"), (~F.col("before")).alias("first"))
+    x = x.filter("rows > 1 or key is null").select("_d", "_o", "key", "i0", "n", "p", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rows", (F.col("before") | F.col("after")).alias("same"), (~F.col("before")).alias("first"))
     return saved(x, name, rows=512)
 
 

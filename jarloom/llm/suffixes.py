@@ -169,7 +169,7 @@ def byte_runs(texts: list[bytes], width: int, gram: int, hot: Hot = NONE_HOT):
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if not len(raw):
         none = np.zeros(0, np.int64)
-        return none, none.view(U64), none, none, none.view(U64)
+        return none, none.view(U64), none, none, none.view(U64), none
     many = np.array(list(map(len, texts)), np.int64)
     end = np.cumsum(many)
     start = end - many
@@ -187,18 +187,39 @@ def byte_runs(texts: list[bytes], width: int, gram: int, hot: Hot = NONE_HOT):
     ok = first <= end[doc] - width
     first, last, doc = first[ok], last[ok], doc[ok]
     n = last - first
-    return doc, g[at[first]], first - start[doc], n, prefix.range(first, first + n + width - 1)
+    return doc, g[at[first]], first - start[doc], n, prefix.range(first, first + n + width - 1), at[first] - first
+
+
+def may_repeat(group: list[tuple], width: int, gram: int, steps: int = 4) -> list[tuple]:
+    """Rows (..., p, text) of one key that can hold a window which another one holds too.
+
+    A window holds the key's gram, and so one of `steps` stretches around it that are nearly as long as the window: with at least k / steps of what is beside the gram on
+    the left, and with what is then left on the right.
+    """
+    if len(group) < 2:
+        return []
+    beside, keep = width - gram, [False] * len(group)
+    for k in range(steps):
+        left = beside * k // steps
+        right = beside - beside * (k + 1) // steps
+        seen: dict[bytes, int] = {}
+        for n, (*_, p, text) in enumerate(group):
+            if p >= left and p + gram + right <= len(text):
+                other = seen.setdefault(text[p - left : p + gram + right], n)
+                if other != n:
+                    keep[other] = keep[n] = True
+    return [r for r, k in zip(group, keep, strict=True) if k]
 
 
 def earlier(rows: list[tuple[int, int, int, int, bytes]], width: int) -> Iterator[tuple[int, int, int, int]]:
-    """Of texts (d, o, i0, n, text): the stretches (d, o, a, b) covered by windows that also start earlier, by the suffix array of all of them.
+    """Of texts (d, o, i0, n, ..., text): the stretches (d, o, a, b) covered by windows that also start earlier, by the suffix array of all of them.
 
     Windows with equal content are neighbours among the windows' suffixes in order; all of a class but the earliest start are repeats. A character that no text has ends
     each text, and only whole windows are looked at, so matches never cross documents.
     """
     rows = sorted(rows, key=lambda r: r[:3])
-    s = np.concatenate([np.append(np.frombuffer(r[4], np.uint8).astype(np.int16) + 1, np.int16(0)) for r in rows])
-    length = np.array([len(r[4]) + 1 for r in rows])
+    s = np.concatenate([np.append(np.frombuffer(r[-1], np.uint8).astype(np.int16) + 1, np.int16(0)) for r in rows])
+    length = np.array([len(r[-1]) + 1 for r in rows])
     begin = np.cumsum(length) - length
     text = np.repeat(np.arange(len(rows)), length)
     place = np.arange(len(s)) - begin[text]
@@ -230,8 +251,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
     judged on the input, overlaps count, and matches never cross documents.
 
     Each window is keyed by the least hash of its `gram`-byte grams (leftmost of equals), so equal windows share a key. Under a key, runs of windows that cover equal text
-    are settled by a hash of it: all but the earliest go. The different texts under a key are dealt together, and suffix_array() of them tells which of their windows are
-    equal. A key of more than SPLIT_ROWS texts is cut by the least hash among the other grams of each window, so that a frequent passage does not fill one task. A
+    are settled by a hash of it: all but the earliest go. The different texts under a key are dealt together; those that nearly a whole window is
+    in common of (may_repeat()) are put in order, and suffix_array() of them tells which of their windows are equal. A key of more than SPLIT_ROWS texts is cut by the least hash among the other grams of each window, so that a frequent passage does not fill one task. A
     group that still has over GROUP_BYTES of text is compared window by window in Spark, which spills, so no task holds more than that.
 
     A null text is empty. Rows that share a doc_id stand in the order in which they are read. A null doc_id comes before all others and is returned as
@@ -247,25 +268,26 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
                 for r in b.column(3)[k].as_py():
                     part = text[r["i0"] : r["i0"] + r["n"] + width - 1]
                     if r["rows"] <= SPLIT_ROWS:
-                        rows.append((r["key"], 0, r["i0"], r["n"], part))
+                        rows.append((r["key"], 0, r["i0"], r["n"], r["p"], part))
                         continue
                     g = Prefix(LETTERS[np.frombuffer(part, np.uint8)]).windows(gram)
                     g[g == np.int64(r["key"]).astype(U64)] = U64(2**64 - 1)
                     sub = np.lib.stride_tricks.sliding_window_view(g, width - gram + 1).min(1)
                     first = np.flatnonzero(np.append(True, sub[1:] != sub[:-1]))
-                    rows += [(r["key"], int(sub[a].view(np.int64)), r["i0"] + a, e - a, part[a : e + width - 1]) for a, e in zip(first.tolist(), [*first[1:].tolist(), len(sub)], strict=True)]
-                keys, subs, i0, n, parts = zip(*rows, strict=True)
+                    rows += [(r["key"], int(sub[a].view(np.int64)), r["i0"] + a, e - a, r["p"] - a, part[a : e + width - 1]) for a, e in zip(first.tolist(), [*first[1:].tolist(), len(sub)], strict=True)]
+                keys, subs, i0, n, p, parts = zip(*rows, strict=True)
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "p", "text"])
 
-    asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "rows"])
-    parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, text binary")
+    asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "p", "rows"])
+    parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, p int, text binary")
     parts = saved(parts.withColumn("bucket", F.xxhash64("key", "sub")), "suf-parts", rows=512)
     large = saved(parts.groupBy("bucket").agg(F.sum(F.length("text")).alias("s")).filter(F.col("s") > GROUP_BYTES).select("bucket"), "suf-large")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come sorted; some whole ones are put in order together. Equal windows have equal keys, so what stands beside a group does not matter."""
         held: list[tuple] = []
+        group: list[tuple] = []
         now, size = None, 0
 
         def done() -> pa.RecordBatch:
@@ -273,20 +295,24 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["_d", "_o", "a", "b"])
 
         for b in batches:
-            for key, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if key != now and size > BLOCK_BYTES:
-                    yield done()
-                    held, size = [], 0
-                now = key
-                held.append(tuple(row))
-                size += len(row[-1])
+            for key, *row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if key != now:
+                    some = may_repeat(group, width, gram)
+                    held += some
+                    size += sum(len(r[-1]) for r in some)
+                    now, group = key, []
+                    if size > BLOCK_BYTES:
+                        yield done()
+                        held, size = [], 0
+                group.append(tuple(row))
+        held += may_repeat(group, width, gram)
         if held:
             yield done()
 
     rest, over = parts, None
     if not large.isEmpty():
         rest, over = parts.join(large, "bucket", "left_anti"), parts.join(large, "bucket", "left_semi")
-    shared = rest.select("bucket", "_d", "_o", "i0", "n", "text").repartition("bucket").sortWithinPartitions("bucket")
+    shared = rest.select("bucket", "_d", "_o", "i0", "n", "p", "text").repartition("bucket").sortWithinPartitions("bucket")
     each = shared.mapInArrow(order, "_d long, _o long, a int, b int")
     if over is not None:  # window by window: Spark adds up and spills
         window = over.select("_d", "_o", "i0", "text", F.explode(F.expr("sequence(0, n - 1)")).alias("j")).select("_d", "_o", (F.col("i0") + F.col("j")).alias("a"), F.expr(f"substring(text, j + 1, {width})").alias("w"))
