@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, back, dropped, hexdigest, mix, read, saved, small, union_length, with_keys, word_hashes
-from .repeats import NONE_HOT, Hot, Prefix, compared, fetched, run_rows, runs, without
+from .repeats import NONE_HOT, Hot, Prefix, asked_of, compared, fetched, run_rows, runs, without
 
 WINDOW = 35
 ROUNDS, LEVELS = 5, (5, 3, 0)  # rounds of naming, and those after which symbols can be keys
@@ -149,11 +149,12 @@ def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         for b in small(batches):
             for k in range(b.num_rows):
                 own = Prefix(word_hashes(b.column(2)[k].as_py().encode().split())).windows(width)
-                asked = b.column(3)[k].as_py()
-                n = np.array([r["n"] for r in asked])
-                i = np.concatenate([np.arange(r["i0"], r["i0"] + r["n"]) for r in asked])
-                m = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r["key"] for r in asked], n)), pa.array(own[i].view(np.int64)), pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py())), pa.array(i.astype(np.int32)), pa.array(np.repeat([r["same"] for r in asked], n))], ["key", "fp", "_d", "_o", "i", "same"])
+                for at in range(0, len(b.column(3)[k]), 2000):  # a long document has many
+                    asked = asked_of(b.column(3)[k], at, 2000)
+                    n = asked["n"].astype(np.int64)
+                    i = np.repeat(asked["i0"] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    m = len(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked["key"], n)), pa.array(own[i].view(np.int64)), pa.array(np.full(m, b.column(0)[k].as_py())), pa.array(np.full(m, b.column(1)[k].as_py())), pa.array(i.astype(np.int32)), pa.array(np.repeat(asked["same"], n))], ["key", "fp", "_d", "_o", "i", "same"])
 
     ask = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "same"])
     from pyspark.sql import Window as W

@@ -173,6 +173,12 @@ def fetched(d: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
     return only(d, by).join(by, ["_d", "_o"])
 
 
+def asked_of(asked: pa.Scalar, at: int, most: int) -> dict[str, np.ndarray]:
+    """Some of the rows of an array of structs, by column; without an object for each."""
+    rows = asked.values.slice(at, most)
+    return {rows.type.field(k).name: rows.field(k).to_numpy(zero_copy_only=False) for k in range(rows.type.num_fields)}
+
+
 def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFrame:
     """cut(text, starts, ends) to a row, for each document with the intervals (a, b) of `gone` that are its own."""
     by = gone.groupBy("_d", "_o").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
@@ -180,7 +186,8 @@ def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            rows = [cut(t, np.array(x or [], np.int64), np.array(y or [], np.int64)) for t, x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            whole = lambda x: np.zeros(0, np.int64) if x.values is None else x.values.to_numpy().astype(np.int64)
+            rows = [cut(t, whole(x), whole(y)) for t, x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3), b.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in zip(*rows, strict=True))], ["_d", "_o", *names])
 
     x = d.join(by, ["_d", "_o"], "left").select("_d", "_o", "text", "a", "b")

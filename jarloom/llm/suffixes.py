@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, back, dropped, hexdigest, mix, read, saved, small, union_length, with_keys
-from .repeats import NONE_HOT, Hot, Prefix, compared, fetched, run_rows, without
+from .repeats import NONE_HOT, Hot, Prefix, asked_of, compared, fetched, run_rows, without
 
 WIDTH, GRAM = 100, 28
 SPLIT_ROWS = 2000  # a key with more rows is cut by a second key
@@ -264,20 +264,25 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             for k in range(b.num_rows):
-                text, rows = b.column(2)[k].as_py().encode(), []
-                for r in b.column(3)[k].as_py():
-                    part = text[r["i0"] : r["i0"] + r["n"] + width - 1]
-                    if r["rows"] <= SPLIT_ROWS:
-                        rows.append((r["key"], 0, r["i0"], r["n"], r["p"], part))
-                        continue
-                    g = Prefix(LETTERS[np.frombuffer(part, np.uint8)]).windows(gram)
-                    g[g == np.int64(r["key"]).astype(U64)] = U64(2**64 - 1)
-                    sub = np.lib.stride_tricks.sliding_window_view(g, width - gram + 1).min(1)
-                    first = np.flatnonzero(np.append(True, sub[1:] != sub[:-1]))
-                    rows += [(r["key"], int(sub[a].view(np.int64)), r["i0"] + a, e - a, r["p"] - a, part[a : e + width - 1]) for a, e in zip(first.tolist(), [*first[1:].tolist(), len(sub)], strict=True)]
-                keys, subs, i0, n, p, parts = zip(*rows, strict=True)
-                m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([b.column(0)[k].as_py()] * m, pa.int64()), pa.array([b.column(1)[k].as_py()] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "p", "text"])
+                text = b.column(2)[k].as_py().encode()
+                for at in range(0, len(b.column(3)[k]), 5000):  # a long document has many
+                    yield rows_of(b.column(0)[k].as_py(), b.column(1)[k].as_py(), text, asked_of(b.column(3)[k], at, 5000))
+
+    def rows_of(d: int, o: int, text: bytes, asked: dict) -> pa.RecordBatch:
+        rows = []
+        for key, i0, n, p, many in zip(*(asked[c].tolist() for c in ("key", "i0", "n", "p", "rows")), strict=True):
+            part = text[i0 : i0 + n + width - 1]
+            if many <= SPLIT_ROWS:
+                rows.append((key, 0, i0, n, p, part))
+                continue
+            g = Prefix(LETTERS[np.frombuffer(part, np.uint8)]).windows(gram)
+            g[g == np.int64(key).astype(U64)] = U64(2**64 - 1)
+            sub = np.lib.stride_tricks.sliding_window_view(g, width - gram + 1).min(1)
+            first = np.flatnonzero(np.append(True, sub[1:] != sub[:-1]))
+            rows += [(key, int(sub[a].view(np.int64)), i0 + a, e - a, p - a, part[a : e + width - 1]) for a, e in zip(first.tolist(), [*first[1:].tolist(), len(sub)], strict=True)]
+        keys, subs, i0, n, p, parts = zip(*rows, strict=True)
+        m = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([d] * m, pa.int64()), pa.array([o] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "p", "text"])
 
     asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "p", "rows"])
     parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, p int, text binary")
