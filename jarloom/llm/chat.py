@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, saved
 
 SEGMENT = "conv_id long, turn_no int, kind string, role string, text string, loss boolean, error string"
 
@@ -74,7 +74,7 @@ def segments(rows: Iterator[tuple], t: Template) -> Iterator[tuple]:
 
 
 def format_chat(rows: DataFrame, template: Template = Template()) -> DataFrame:
-    """rows (conv_id, turn, role, text, ...) to segments (conv_id, turn_no, kind, role, text, loss, error).
+    """rows (conv_id, turn, role, text, ...) to segments (conv_id, turn_no, kind, role, text, loss, error), saved in the shared folder.
 
     A conversation's rows stand by turn, then role, then text (null turn first; equal rows are turns of their own). A null text is empty, a null role is empty and, as
     any role outside the machine, an error of its turn; invalid conversations are formatted too, with their errors. An empty table gives no segments. Other columns are
@@ -95,11 +95,11 @@ def format_chat(rows: DataFrame, template: Template = Template()) -> DataFrame:
 
     x = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     x = x.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return x.mapInArrow(run, SEGMENT)
+    return saved(x.mapInArrow(run, SEGMENT), "chat", rows=2000)
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digest formatted segments, in the order and partitions that format_chat gives, from their texts and loss flags alone.
+    """Digest formatted segments, from their texts and loss flags alone. They are put in order by conversation, turn and kind, wherever they were read from.
 
     The role is parsed from the opening text and the turn's text unescaped from its body. Loss text is what the mask covers, unescaped.
     """
@@ -135,7 +135,9 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
                 done = []
 
-    return formatted.select("conv_id", "kind", "text", "loss", "error").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, errors long")
+    part = F.when(F.col("kind") == "open", 0).when(F.col("kind") == "body", 1).otherwise(2)
+    x = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", part).select("conv_id", "kind", "text", "loss", "error")
+    return x.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, errors long")
 
 
 HOSTILE = r"\### Assistant: </turn> ok"

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import dropped, read, saved
 
 DIMS = 8  # of the projection; even, so that the chi-square distribution has a closed form
-CONFIDENCE = 0.98  # that a true neighbour within the present distance has not been left out by the stopping test
+CONFIDENCE = 0.95  # that a true neighbour within the present distance has not been left out by the stopping test
 SAMPLE = 20_000  # vectors that the kd-tree's planes are fitted on
 CELL = 4096  # distinct vectors that a cell holds at most, as the sample tells
 BUCKET = 256  # points that a leaf of the tree inside a cell holds
@@ -149,8 +149,9 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, confidence: flo
 
     Equal vectors are one point with its k + 1 smallest ids (no other can be in an answer) and are asked once, so a group of copies of any size is one row. Points lie in
     the cells of a kd-tree over a projection to DIMS dimensions, its planes fitted on at most SAMPLE vectors; all vectors are in cells, and every cell is a task's group
-    of about CELL points. First each query searches its own cell; the k-th score there bounds, by the stopping test, which other cells it is sent to. Queries of a cell
-    come in blocks of QUERY_BLOCK, with the cell's points for each block. Scores are double inner products of the original vectors.
+    of about CELL points (more, if there are over MOST_CELLS times CELL). Cells are searched in rounds, from near to far in the projection: first each query's own, then
+    the next 4, 16 and so on; after each round the k-th score so far bounds, by the stopping test, where a query still goes, and no further round comes when none does.
+    Queries of a cell come in blocks of QUERY_BLOCK, with the cell's points for each block that asks it. Scores are double inner products of the original vectors.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and size(v) > 0")
@@ -182,45 +183,55 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, confidence: flo
     points = saved(points.select("pid", "v", "ids").mapInPandas(place, "pid long, v array<double>, ids array<long>, cell int"), "ann-cells")
     queries = saved(wants.select("pid").distinct().join(points.select("pid", "v"), "pid").select(F.col("pid").alias("qid"), "v"), "ann-queries")
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    spread = points.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids")
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    found_schema = "qid long, ids array<long>, scores array<double>"
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    found_schema, sent = "qid long, ids array<long>, scores array<double>", "qid long, kth double, cell int, block int"
 
     def inside(key, cell: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows = list(search(cell, asked, given.value[0], k, bound)) if len(cell) and len(asked) else []
         return pd.DataFrame(rows, columns=["qid", "ids", "scores"])
 
-    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, tree = given.value
-        for f in frames:
-            yield f.assign(cell=tree.cell(g.queries(stack(f["v"]))).astype("int32"), kth=-np.inf)
+    def cells(lo: int, hi: int):
+        """Of each query's cells from near to far those from the lo-th up to the hi-th, its own being the first, that the stopping test with the k-th score so far does not rule out."""
 
-    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, tree = given.value
-        for f in frames:
-            q = stack(f["v"])
-            if not len(f):
-                continue
-            proj, d = g.queries(q), g.distance(q, f["kth"].to_numpy(dtype=float))
-            home = tree.cell(proj)
-            for n, (qid, v, kth) in enumerate(zip(f["qid"], f["v"], f["kth"], strict=True)):
-                go = tree.squared(proj[n]) <= (bound * d[n] if np.isfinite(kth) else np.inf)
-                go[home[n]] = False
-                if len(cells := np.flatnonzero(go)):
-                    yield pd.DataFrame({"qid": qid, "v": [v] * len(cells), "kth": kth, "cell": cells.astype("int32")})
-
-    def ask(q: DataFrame) -> DataFrame:
-        q = q.withColumn("block", block)
-        return spread.groupBy("cell", "block").cogroup(q.groupBy("cell", "block")).applyInPandas(inside, found_schema)
-
-    sent = "qid long, v array<double>, kth double, cell int"
-    first = saved(ask(queries.mapInPandas(own, sent)), "ann-first")
-    # scores of a vector's ids stand together, so the (k + 1)-th entry is at most the (k + 1)-th best: a safe bound
-    kth = first.select("qid", F.coalesce(F.try_element_at("scores", F.lit(k + 1)), F.lit(float("-inf"))).alias("kth"))
-    more = queries.join(kth, "qid", "left").fillna(float("-inf"), ["kth"])
-    rest = ask(more.mapInPandas(others, sent))
-    flat = first.unionByName(rest).select("qid", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("qid", "x.*")
-    best = flat.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("scores"), "ids"))).filter(F.col("r") <= k + 1)
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g, tree = given.value
+            for f in frames:
+                if not len(f):
+                    continue
+                q, kth = stack(f["v"]), f["kth"].to_numpy(dtype=float)
+                proj, d = g.queries(q), g.distance(q, np.where(np.isfinite(kth), kth, 0))
+                home = tree.cell(proj)
+                for n, (qid, block) in enumerate(zip(f["qid"], f["block"], strict=True)):
+                    far = tree.squared(proj[n])
+                    far[home[n]] = -1
+                    go = np.argsort(far, kind="stable")[lo:hi]
+                    go = go[far[go] <= (bound * d[n] if np.isfinite(kth[n]) else np.inf)]
+                    if len(go):
+                        yield pd.DataFrame({"qid": qid, "kth": kth[n], "cell": go.astype("int32"), "block": block})
+
+        return run
+
+    def best_of(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("scores"), "ids"))).filter(F.col("r") <= k + 1)
+        return saved(ranked, "ann-best")
+
+    best, lo, step = None, 0, 1
+    while lo < 2**tree.depth:
+        kth = queries.withColumn("kth", F.lit(float("-inf")))
+        if best is not None:  # the score that a query has k others of, besides its own vector's
+            kth = queries.join(best.filter(F.col("r") == k + 1).select("qid", F.col("scores").alias("kth")), "qid", "left").fillna(float("-inf"), ["kth"])
+        asked = saved(kth.select("qid", "v", "kth", "block").mapInPandas(cells(lo, lo + step), sent), "ann-asked")
+        if asked.isEmpty():  # what is further is ruled out as well
+            dropped(asked)
+            break
+        # a cell goes only to the blocks of queries that ask it
+        spread = points.join(asked.select("cell", "block").distinct(), "cell").select("cell", "block", "v", "ids")
+        q = asked.join(queries.select("qid", "v"), "qid").select("qid", "kth", F.col("cell").alias("of"), F.col("block").alias("part"), "v")
+        found = spread.groupBy("cell", "block").cogroup(q.groupBy("of", "part")).applyInPandas(inside, found_schema)
+        found = found.select("qid", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("qid", "x.*")
+        before, best = best, best_of(found if best is None else found.unionByName(best.drop("r")))
+        dropped(asked, *([] if before is None else [before]))
+        lo, step = lo + step, step * 4
     mine = wants.join(best, wants.pid == best.qid).filter(F.col("ids") != F.col("vec_id"))
     rank = F.row_number().over(W.partitionBy("vec_id", "pid").orderBy(F.desc("scores"), "ids"))
     return mine.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("vec_id").alias("query_id"), "rank", F.col("ids").alias("vec_id"), F.col("scores").alias("score"))

@@ -179,16 +179,35 @@ def pack_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFr
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(d.mapInArrow(encode, RECORD), "packed", rows=512)
+    return saved(d.mapInArrow(encode, RECORD), "packed", "uncompressed", rows=512)  # packed ids don't compress; a record is read without unpacking others
 
 
-def unpacked(records: DataFrame) -> DataFrame:
-    """Read records: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+def located(records: DataFrame) -> DataFrame:
+    """(p, s, base): where the ids of each record begin among all ids. Only the records' sizes are read."""
     per = records.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part
     parts = per.select(F.col("part").alias("p"), (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     within = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     places = records.select("part", "seq", "n_ids").withColumn("inner", F.sum("n_ids").over(within) - F.col("n_ids"))
-    places = places.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("base") + F.col("inner")).alias("base"))
+    return places.join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("seq").alias("s"), (F.col("base") + F.col("inner")).alias("base"), "n_ids")
+
+
+def tokens(records: DataFrame, start: int, end: int) -> DataFrame:
+    """(start, ids): the ids from `start` up to `end` among all, in pieces by record. Records outside are not read, and of those inside only the blocks that hold them."""
+    where = located(records).filter((F.col("base") < end) & (F.col("base") + F.col("n_ids") > start)).drop("n_ids")
+    x = records.join(F.broadcast(where), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("base", "record")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                a = max(0, start - base)
+                yield pa.RecordBatch.from_arrays([pa.array([base + a]), pa.array([Record(data.as_py()).ids(a, end - base).astype(np.int32)], pa.list_(pa.int32()))], ["start", "ids"])
+
+    return x.mapInArrow(run, "start long, ids array<int>")
+
+
+def unpacked(records: DataFrame) -> DataFrame:
+    """Read records: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
+    places = located(records).drop("n_ids")
     x = records.join(places, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("base", "record")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,3 +202,148 @@ def test_toxicity_learns_from_rare_languages(spark):
     got = {(r.toxic, r.stratum): r["count"] for r in toxicity.sample(docs, known, {1: 100, 0: 2000}).groupBy("toxic", "stratum").count().collect()}
     assert got[1, "aa"] >= 25 and 95 <= got[1, "aa"] + got[1, "bb"] <= 100
     assert (got[0, "aa"], got[0, "bb"]) == (30, 1970)
+
+
+def ten_nearest(x, q, k=20):
+    s = x @ x[q]
+    return set(sorted((j for j in range(len(x)) if j != q), key=lambda j: (-round(s[j], 9), j))[:k])
+
+
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    """64 cells, and queries in several blocks: what is near lies in few of them when vectors are in groups; recall stays above 0.9."""
+    monkeypatch.setattr(neighbours, "CELL", 32)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 30)
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 24))
+    x = centres[r.integers(0, 40, 2000)] + 0.1 * r.standard_normal((2000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    seen = []
+    monkeypatch.setattr(neighbours, "saved", lambda df, name, *a, f=neighbours.saved, **b: (out := f(df, name, *a, **b), seen.append(out.count()) if name == "ann-asked" else None)[0])
+    rows = neighbours.neighbours(spark.createDataFrame([(k, v.tolist(), "clash") for k, v in enumerate(x)], "vec_id long, embedding array<double>, cell string")).collect()
+    hit = sum(len(ten_nearest(x, q) & {r.vec_id for r in rows if r.query_id == q}) for q in range(0, 2000, 20))
+    assert len(rows) == 2000 and hit >= 0.9 * 2000
+    assert sum(seen) < 0.6 * 100 * 64  # of all pairs of queries and cells
+
+
+def test_neighbours_of_nothing_and_of_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert neighbours.neighbours(spark.createDataFrame([], schema)).count() == 0
+    got = neighbours.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (None, [5.0, 5.0])], schema)).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == {(0, 1, 1.0), (0, 1, 2.0)}
+
+
+def test_tokens_by_position(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RECORD_IDS", 5)
+    texts = [f"word{k} and more of it" for k in range(40)]
+    packed = packing.pack_tokens(frame(spark, texts), packing.tokenizer_file())
+    enc = packing.encoder(packing.tokenizer_file()).tokenizer
+    every = [i for t in texts for i in [*enc.encode(t, add_special_tokens=False).ids, 1]]
+    got = sorted((r.start, r.ids) for r in packing.tokens(packed, 17, 61).collect())
+    assert got[0][0] == 17 and [i for _, ids in got for i in ids] == every[17:61]
+
+
+def test_empty_conversations(spark):
+    assert chat.read_back(chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+LONG = ("lorem ipsum dolor sit amet consectetur " * 30_000)[:1_000_000]
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    """Rows that share a doc_id, or have none, are documents of their own in every operator; a text of 1 MB and a token of 10 kB are like any others."""
+    a, b = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(80))
+    texts, ids = [a, b, a, a + " end", LONG, "z" * 10_000 + " " + a, None, b], [1, 1, 2, None, -(2**63), 3, None, None]
+    docs = frame(spark, texts, ids)
+    key = lambda rows, *c: sorted((str(r.doc_id), *(r[x] for x in c)) for r in rows)
+    words = [(t or "").encode().split() for t in texts]
+    seen = {}
+    for w in words:
+        for k in range(len(w) - 34):
+            seen[tuple(w[k : k + 35])] = seen.get(tuple(w[k : k + 35]), 0) + 1
+    gone = [len({p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}) for w in words]
+    assert key(recompress.repeated_words(docs).collect(), "n_words", "n_removed") == sorted((str(i), len(w), g) for i, w, g in zip(ids, words, gone, strict=True))
+    cut = suffixes.repeated_bytes(docs).collect()
+    assert key(cut, "n_bytes") == sorted((str(i), len((t or "").encode())) for i, t in zip(ids, texts, strict=True))
+    # which of equal rows is the earlier one is open, but not how much is left of all: one copy of each passage
+    assert sum(r.n_removed for r in cut) == sum(x[1] for x in brute_bytes(texts))
+    near = {(str(r.doc_id), r.n_shingles): str(r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert near[("2", 78)] == "1" and near[("None", 79)] == "1" and near[("None", 0)] == "None" and near[("-9223372036854775808", len({tuple(words[4][k : k + 3]) for k in range(len(words[4]) - 2)}))] == "-9223372036854775808"
+    scored = lattice.lattice_scores(docs, packing.tokenizer_file(), 1).collect()
+    assert key(scored, "n_tokens") == sorted((str(i), len(w) + 1) for i, w in zip(ids, words, strict=True))
+    assert all(r.held_out for r in scored if r.doc_id is None)
+    items = spark.createDataFrame([("i", a, 1), ("i", a, 2), (None, "v1 v2 v3", 3)], "item_id string, text string, w long")
+    hits = key(decontaminate(docs, items).collect(), "n_words", "n_hit", "n_items")
+    assert hits == sorted([("1", 80, 80, 1), ("1", 80, 3, 1), ("2", 80, 80, 1), ("None", 81, 80, 1), ("-9223372036854775808", len(words[4]), 0, 0), ("3", 81, 80, 1), ("None", 0, 0, 0), ("None", 80, 3, 1)])
+    packed = packing.unpacked(packing.pack_tokens(docs, packing.tokenizer_file())).collect()
+    assert len(packed) == 8 and len({r.start for r in packed}) == 8
+    mixed = mixing.mix_sources(docs).collect()
+    assert key(mixed, "size") == sorted((str(i), len(w)) for i, w in zip(ids, words, strict=True)) and all(r.taken <= 3 * r["size"] for r in mixed)
+    labels = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (3, 0, "y"), (None, 1, "y"), (2, None, "y")], "doc_id long, toxic int, text string")
+    assert toxicity.toxicity(docs, labels).count() == 8
+
+
+@pytest.mark.parametrize("name", ["op8_mix_sources", "op9_decontaminate"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from jarloom.llm import registry
+
+    d, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df = registry.queries()[name](spark, d)
+    cols = sorted(df.columns)
+    plain = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert plain(df.select(*cols).collect()) == plain(db.sql(registry.oracle_sql()[name]).select(*(f'"{c}"' for c in cols)).fetchall())
+
+
+def test_lattice_columns(spark):
+    import math
+    import zlib
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows}
+    words = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in rows}
+    count = {}
+    for i, ws in words.items():
+        for w in ws if not out[i] else ():
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    for r in lattice.lattice_scores(spark.read.parquet(f"{d}/documents.parquet"), packing.tokenizer_file()).collect():
+        ws = words[r.doc_id]
+        base = sum(math.log10((count.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(ws), sum(w in count for w in ws), n)
+        assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
+
+
+def test_kernel_by_brute_force():
+    """The gap-weighted subsequence kernel by its definition, and the machine's folded weights against it."""
+    import itertools
+
+    def brute(a, b):
+        def feature(u):
+            f = {}
+            for at in itertools.combinations(range(len(u)), toxicity.ORDER):
+                s = bytes(u[k] for k in at)
+                f[s] = f.get(s, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+            return f
+
+        x, y = feature(a), feature(b)
+        dot = lambda p, q: sum(w * q.get(s, 0) for s, w in p.items())
+        return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
+
+    import math
+
+    units = [toxicity.code(w) for w in ("idiot", "idxiot", "nitwit", "tidies", "abcdefghijk", "moron")]
+    got = toxicity.kernel(units, units[:3])
+    assert np.allclose(got, [[brute(a, b) for b in units[:3]] for a in units], atol=1e-5)
+    model = toxicity.Model()
+    alpha = [0.5, -1.0, 2.0]
+    for (which, m), in [((w, m),) for w, m in toxicity.by_length(units[:3])]:
+        ids, w, norm = toxicity.subsequences(m)
+        for k, row, z in zip(which, ids, norm, strict=True):
+            np.add.at(model.theta, row, np.float32(alpha[k]) * (w / z).astype(np.float32))
+    model.bias = 0.25
+    assert np.allclose(model.values(units), got @ alpha + 0.25, atol=1e-4)
+    assert np.allclose(toxicity.Model.unpack(*model.pack()).values(units), model.values(units))
