@@ -284,10 +284,23 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
         m = len(rows)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array([d] * m, pa.int64()), pa.array([o] * m, pa.int64()), pa.array(i0, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(parts, pa.binary())], ["key", "sub", "_d", "_o", "i0", "n", "p", "text"])
 
-    asked = fetched(d, x.filter("mixed and first"), ["key", "i0", "n", "p", "rows"])
-    parts = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, p int, text binary")
-    parts = saved(parts.withColumn("bucket", F.xxhash64("key", "sub")), "suf-parts", rows=512)
-    large = saved(parts.groupBy("bucket").agg(F.sum(F.length("text")).alias("s")).filter(F.col("s") > GROUP_BYTES).select("bucket"), "suf-large")
+    def parts_of(rows: DataFrame) -> DataFrame:
+        asked = fetched(d, rows, ["key", "i0", "n", "p", "rows"])
+        out = asked.mapInArrow(cut_out, "key long, sub long, _d long, _o long, i0 int, n int, p int, text binary")
+        return out.withColumn("bucket", F.xxhash64("key", "sub"))
+
+    # a key of at most SPLIT_ROWS runs has less text than GROUP_BYTES; only the others are looked at for that
+    apart = x.filter("mixed and first")
+    rest, over, tables = parts_of(apart.filter(F.col("rows") <= SPLIT_ROWS)), None, []
+    many = apart.filter(F.col("rows") > SPLIT_ROWS)
+    if not many.isEmpty():
+        parts = saved(parts_of(many), "suf-parts", rows=512)
+        large = saved(parts.groupBy("bucket").agg(F.sum(F.length("text")).alias("s")).filter(F.col("s") > GROUP_BYTES).select("bucket"), "suf-large")
+        tables = [parts, large]
+        if large.isEmpty():
+            rest = rest.unionByName(parts)
+        else:
+            rest, over = rest.unionByName(parts.join(large, "bucket", "left_anti").select(*parts.columns)), parts.join(large, "bucket", "left_semi")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come sorted; some whole ones are put in order together. Equal windows have equal keys, so what stands beside a group does not matter."""
@@ -314,9 +327,6 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
         if held:
             yield done()
 
-    rest, over = parts, None
-    if not large.isEmpty():
-        rest, over = parts.join(large, "bucket", "left_anti"), parts.join(large, "bucket", "left_semi")
     shared = rest.select("bucket", "_d", "_o", "i0", "n", "p", "text").repartition("bucket").sortWithinPartitions("bucket")
     each = shared.mapInArrow(order, "_d long, _o long, a int, b int")
     if over is not None:  # window by window: Spark adds up and spills
@@ -327,7 +337,7 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
         each = each.unionByName(later.select("_d", "_o", "a", (F.col("a") + width).alias("b")))
     gone = x.filter("key is null or (same and not first)").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each)
     gone = saved(gone, "suf-gone", rows=2000)
-    dropped(x, parts, large, *([] if over is None else [window]))
+    dropped(x, *tables, *([] if over is None else [window]))
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
         out = union_length(a, b, len(text)) if len(a) else np.zeros(0, bool)
