@@ -10,7 +10,7 @@ from .common import back, read, saved, with_keys
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what is between words, of the text before A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64_000_000
 
 
 def lowered(w: Column) -> Column:
@@ -23,8 +23,13 @@ def words_of(text: Column) -> Column:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """To broadcast, if it has few rows by count; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A saved table to broadcast, if it has few rows and takes few bytes, both by count; else as it is, to be shuffled."""
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        size = size + (F.octet_length(c) if kind == "string" else F.octet_length(F.array_join(c, "")) + 16 * F.size(c) if kind.startswith("array") else F.lit(8))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def prefixes(items: DataFrame, docs: DataFrame, window: int) -> DataFrame:

@@ -19,7 +19,7 @@ GRAM, PERCENT = 3, 90
 PARTS = 4  # fragments that a pair's overlap is counted in
 BUCKETS = 256  # of a set's sketch: how many of its shingles fall into each, modulo 256
 BLOCK = 1024  # members of a centre that are compared at once
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000  # of three numbers: about 40 MB
 BOUNDS = [1]
 while BOUNDS[-1] < 2**40:
     BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 3 // 2))

@@ -23,7 +23,7 @@ from .common import U64, dropped, mix, most_frequent, saved, small
 ROWS = "_d long, _o long, key long, i0 int, n int, fp long, p int, m int"  # p: where in the run its key stands; m: how many equal runs it stands for; key is null for a run that is known to go
 SAMPLE_PART, HOT_SHARE, HOT_LEAST, HOT_MOST = 32, 0.001, 24, 100_000  # a key is hot in so large a share of a sample of documents, and so many times; so many keys at most
 HELD_ROWS = 200_000  # runs that are added up at a time
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000  # of two numbers: about 30 MB
 ODD, INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
@@ -164,7 +164,7 @@ def compared(rows: DataFrame, name: str) -> DataFrame:
 def only(d: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with these (_d, _o); the ids are broadcast if they are few by count."""
     ids = ids.select("_d", "_o").distinct()
-    return d.join(F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids, ["_d", "_o"], "left_semi")
+    return d.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["_d", "_o"], "left_semi")
 
 
 def fetched(d: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
