@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, back, dropped, mix, most_frequent, read, saved, small, with_keys
+from .common import U64, back, batches_of, dropped, mix, most_frequent, read, saved, small, with_keys
 from .packing import tokenizer_file
 
 ROUNDS = 2
+WORD_BATCH = 100_000  # words in an Arrow batch
 SMOOTH = 0.1
 TOP_WORDS, TOP_BYTES = 400_000, 48  # the broadcast dictionary: at most so many words of at most so many bytes,
 TOP_LONG, LONG_BYTES = 4000, 2048  # and so many longer ones of at most so many bytes: below 30 MB
@@ -202,7 +203,9 @@ def train(words: DataFrame, lattice: Lattice, rounds: int) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "e"])
 
         e = np.zeros(len(lattice.pieces))
-        for k, x in words.filter("c > 0").mapInArrow(run, "k long, e double").groupBy("k").agg(F.sum("e")).collect():
+        with batches_of(words.sparkSession, WORD_BATCH):  # words are worked on by length, many at a time
+            found = words.filter("c > 0").mapInArrow(run, "k long, e double").groupBy("k").agg(F.sum("e")).collect()
+        for k, x in found:
             e[k] = x
         lattice.scores = np.log((e + SMOOTH) / (e.sum() + SMOOTH * len(e)))
         given.destroy()
@@ -248,7 +251,7 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS)
             lp = np.logaddexp(whole, given.value.log10(ws) * math.log(10) + left) / math.log(10) + go_on
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.log10((c + 0.1) / low)), pa.array(lp)], ["word", "c", "base", "lp"])
 
-    table = saved(words.mapInArrow(score, "word binary, c long, base double, lp double"), "lat-table")
+    table = saved(words.mapInArrow(score, "word binary, c long, base double, lp double"), "lat-table", rows=WORD_BATCH)
     dropped(words)
     long = table.filter((F.length("word") > TOP_BYTES) & (F.length("word") <= LONG_BYTES))
     top = most_frequent(table.filter(F.length("word") <= TOP_BYTES), TOP_WORDS).unionByName(most_frequent(long, TOP_LONG)).toArrow()
