@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import shutil
 import tempfile
@@ -35,6 +37,7 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 5
             e = min(a + rows, max(a + 1, int(np.searchsorted(size, size[a] + most, side="right")) - 1))
             yield b.slice(a, e - a)
             a = e
+    give_back()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -149,6 +152,15 @@ def in_use(name: str, release) -> None:
     if IN_USE.get("name") != name:
         IN_USE.get("release", lambda: None)()
         IN_USE.update(name=name, release=release)
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's and C's allocators keep it, and a Python worker lives as long as there are tasks for it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only GNU's library has it
+        trim(0)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

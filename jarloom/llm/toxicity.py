@@ -97,15 +97,15 @@ def kernel(units: list[bytes], marks: list[bytes]) -> np.ndarray:
     ids, mark, weight = ids[order], mark[order], weight[order]
     out = np.zeros((len(units), len(marks)), np.float32)
     for which, m in by_length(units):
-        for a in range(0, len(which), 100):
-            own, w, norm = subsequences(m[a : a + 100])
+        for a in range(0, len(which), 25):  # each of their subsequences may be in most of the landmarks
+            own, w, norm = subsequences(m[a : a + 25])
             first = np.searchsorted(ids, own)
             many = np.searchsorted(ids, own, side="right") - first
             r, c = np.nonzero(many)
             n = many[r, c]
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[r, c], n)
             sums = np.bincount(np.repeat(r, n) * len(marks) + mark[at], np.repeat(w[c], n) * weight[at], len(own) * len(marks))
-            out[which[a : a + 100]] = sums.reshape(len(own), -1) / norm[:, None]
+            out[which[a : a + 25]] = sums.reshape(len(own), -1) / norm[:, None]
     return out
 
 
