@@ -100,7 +100,7 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def learn(self, words: list[bytes], index: dict[bytes, int]) -> None:
         k = len(self.index)

@@ -193,19 +193,20 @@ class Grams:
     """Of each unit the runs of ORDER characters in it, and its beginnings of up to three more, as numbers."""
 
     def __init__(self, units: list[bytes]):
-        found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n = np.array([len(u) for u in units], np.int64)
+        first = np.array([u[0] == MARK for u in units], bool)
+        many = np.where(n >= ORDER, n - ORDER + 1 + np.where(first, np.clip(n - ORDER, 0, 3), 0), 0)
+        self.at = np.append(0, np.cumsum(many))
+        self.of = np.repeat(np.arange(len(units), dtype=np.int32), many)
+        self.gram = np.zeros(len(self.of), np.int64)
         power = 64 ** np.arange(ORDER + 3)
         for which, m in by_length(units):
-            n, m = m.shape[1], m + 1
-            runs = [(which, m[:, k : k + ORDER] @ power[:ORDER]) for k in range(n - ORDER + 1)]
+            n, m, at = m.shape[1], m + 1, self.at[which]
+            for k in range(n - ORDER + 1):
+                self.gram[at + k] = m[:, k : k + ORDER] @ power[:ORDER]
             first = m[:, 0] == MARK + 1
-            runs += [(which[first], m[first, :k] @ power[:k]) for k in range(ORDER + 1, min(n, ORDER + 3) + 1)]
-            of += [x for x, _ in runs]
-            found += [x for _, x in runs]
-        of = np.concatenate(of)
-        order = np.argsort(of, kind="stable")
-        self.of, self.gram = of[order], np.concatenate(found)[order]
-        self.at = np.searchsorted(self.of, np.arange(len(units) + 1))
+            for k in range(ORDER + 1, min(n, ORDER + 3) + 1):
+                self.gram[at[first] + n - 2 * ORDER + k] = m[first, :k] @ power[:k]
 
     def set_of(self, units: np.ndarray) -> np.ndarray:
         """The different ones of some units."""
@@ -247,7 +248,7 @@ def fit(of: list[list[bytes]], toxic: list[int], strata: list | None = None, see
     strata = strata or [""] * len(of)
     units = sorted({u for x in of for u in x})
     index = {u: k for k, u in enumerate(units)}
-    texts = [np.array([index[u] for u in x], np.int64) for x in of]
+    texts = [np.array([index[u] for u in x], np.int32) for x in of]
     del index
     count = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int64), *(texts[k] for k in which)]), minlength=len(units))
     pos, neg, grams = count(np.flatnonzero(y)), count(np.flatnonzero(~y)), Grams(units)
