@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from jarloom.llm.common import dropped, read, saved
 from jarloom.llm.decontaminate import bounded, decontaminate
 from jarloom.llm.jaccard import jaccard_components
-from jarloom.llm.mixing import mix_sources
+from jarloom.llm.mixing import mix_key, mix_sources
 from jarloom.llm.packing import pack_tokens, tokenizer_file, unpacked
 from jarloom.llm.toxicity import toxicity
 
@@ -61,13 +61,24 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, as rows that repeat. The one at a source's cut is taken whole if half of it or more is inside the budget; one without
-    words costs nothing and is taken once."""
+    words costs nothing and is taken once.
+
+    In the order of the mix a source's documents up to some place are taken once more than those behind it, so a row for each source tells how often, and no text is
+    shuffled to meet its number.
+    """
     names = docs.columns
     docs, row = rows_of(docs)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    found = saved(mix_sources(by_row(docs, row)).select(F.col("doc_id").alias(row), times.alias(f"{row}_n")), "pipe-times")  # a few bytes a document
-    x = docs.join(found.filter(F.col(f"{row}_n") > 0), row)
-    return x.select(*names, F.explode(F.sequence(F.lit(1), F.col(f"{row}_n"))).alias(f"{row}_k")).select(*names)
+    own = by_row(docs, row)
+    place = F.struct(mix_key(F.col("doc_id")).alias("key"), F.col("doc_id").alias("id"))
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    per = mix_sources(own).filter("size > 0").select(F.col("source").alias(f"{row}_s"), place.alias("place"), times.alias("n"))
+    last = F.max(F.struct("n", "place"))  # of those that are taken most often, the last one
+    per = saved(per.groupBy(f"{row}_s").agg(last.alias(f"{row}_last"), F.min("n").alias(f"{row}_n")), "pipe-times")  # a row for each source
+    x = docs.join(bounded(per), F.col("source").eqNullSafe(F.col(f"{row}_s")), "left")
+    here = F.struct(mix_key(F.col(row)).alias("key"), F.col(row).alias("id"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    n = F.when(~words, 1).otherwise(F.when(here <= F.col(f"{row}_last.place"), F.col(f"{row}_last.n")).otherwise(F.col(f"{row}_n")))
+    return x.withColumn(f"{row}_t", n).filter(F.col(f"{row}_t") > 0).select(*names, F.explode(F.sequence(F.lit(1), F.col(f"{row}_t"))).alias(f"{row}_k")).select(*names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

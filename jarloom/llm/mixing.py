@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return s.select("source", "source_size", "weight", F.when(capped, F.col("cap").cast("double")).otherwise(free.cast("double")).alias("target"))
 
 
+def mix_key(doc_id: Column, seed: str = "mix") -> Column:
+    """The 52-bit place of a document in its source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
     """docs (doc_id, text, source, ...) to doc_id, source, size, source_size, target, taken.
 
@@ -46,8 +51,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     is put in order row by row. A source of any share of the rows is spread over its ranges. Rows that share a doc_id stand in order of size; equal rows share one
     place, and each of them is taken as that order has it. An empty table gives an empty table. Columns beyond doc_id, text and source are not read.
     """
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")  # 52 bits
-    d = docs.select("doc_id", "source", F.coalesce(F.size(F.array_remove(F.split("text", SPACE), "")), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    d = docs.select("doc_id", "source", F.coalesce(F.size(F.array_remove(F.split("text", SPACE), "")), F.lit(0)).cast("long").alias("size"), mix_key(F.col("doc_id"), seed).alias("key"))
     d = saved(d, "mix-sizes")  # a few bytes a document, so that texts are read once
     per = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     t = targets(per.select("source", "source_size"), weights, most).join(per.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")

@@ -89,3 +89,20 @@ def test_filters_agree_with_their_operators(spark, name):
     else:
         want = decontaminate(docs, spark.read.parquet(f"{d}/benchmark.parquet")).filter(~F.col("contaminated"))
     assert got == {r.doc_id for r in want.select("doc_id").collect()}
+
+
+def test_the_mix_shuffles_no_text(spark):
+    """A row for each source tells how often its documents are taken, as the operator has it for each of them."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 50 == 1, "one").otherwise(F.col("source")))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 20 == 7, " \t").otherwise(F.col("text")))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        out = P.mixed(spark, docs, d)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = {r.doc_id: int(r.taken / r.size + 0.5) if r.size else 1 for r in mixing.mix_sources(docs).select("doc_id", "taken", "size").collect() for r in [type("R", (), r.asDict())]}
+    assert got == {k: n for k, n in want.items() if n} and len(set(want.values())) > 2
