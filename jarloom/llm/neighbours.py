@@ -15,7 +15,7 @@ from .common import dropped, read, saved
 
 DIMS = 8  # of the projection; even, so that the chi-square distribution has a closed form
 CONFIDENCE = 0.95  # that a true neighbour within the present distance has not been left out by the stopping test
-SAMPLE = 20_000  # vectors that the kd-tree's planes are fitted on
+SAMPLE = 20_000  # vectors, about, that the kd-tree's planes are fitted on
 CELL = 4096  # distinct vectors that a cell holds at most, as the sample tells
 BUCKET = 256  # points that a leaf of the tree inside a cell holds
 MOST_CELLS = 65_536
@@ -148,7 +148,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, confidence: flo
     null vec_ids. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own for others; a query is asked once for each vec_id and vector.
 
     Equal vectors are one point with its k + 1 smallest ids (no other can be in an answer) and are asked once, so a group of copies of any size is one row. Points lie in
-    the cells of a kd-tree over a projection to DIMS dimensions, its planes fitted on at most SAMPLE vectors; all vectors are in cells, and every cell is a task's group
+    the cells of a kd-tree over a projection to DIMS dimensions, its planes fitted on about SAMPLE vectors (all, if fewer); all vectors are in cells, and every cell is a task's group
     of about CELL points (more, if there are over MOST_CELLS times CELL). Cells are searched in rounds, from near to far in the projection: first each query's own, then
     the next 4, 16 and so on; after each round the k-th score so far bounds, by the stopping test, where a query still goes, and no further round comes when none does.
     Queries of a cell come in blocks of QUERY_BLOCK, with the cell's points for each block that asks it. Scores are double inner products of the original vectors.
@@ -170,8 +170,15 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, confidence: flo
     wants = saved(p.filter(ids % every == 0).select("vec_id", "h", "v").distinct().join(points.select("h", "v", "pid"), ["h", "v"]).select("vec_id", "pid"), "ann-wants")
     n, norm = points.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     g = Geometry(common["dim"], norm)
-    sample = stack(points.orderBy(F.xxhash64("h")).limit(SAMPLE).select("v").toPandas()["v"])
-    tree = Tree(g.points(sample), min(int(math.log2(MOST_CELLS)), max(0, math.ceil(math.log2(n / CELL)))))
+    # the sample is drawn by a hash, so nothing is sorted, and projected where it is: DIMS numbers of a vector come to the driver
+    drawn = points if n <= SAMPLE else points.filter(F.pmod(F.xxhash64("h"), F.lit(2**32)) < F.lit(int(SAMPLE / n * 2**32)))
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame(g.points(stack(f["v"])), columns=[f"x{k}" for k in range(DIMS)]) if len(f) else pd.DataFrame(columns=[f"x{k}" for k in range(DIMS)])
+
+    sample = drawn.select("v").mapInPandas(project, ", ".join(f"x{k} double" for k in range(DIMS))).toPandas().to_numpy(dtype=float)
+    tree = Tree(sample, min(int(math.log2(MOST_CELLS)), max(0, math.ceil(math.log2(n / CELL)))))
     given = spark.sparkContext.broadcast((g, tree))
     bound = chi2_quantile(confidence, DIMS)
 

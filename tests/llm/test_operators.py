@@ -347,3 +347,14 @@ def test_kernel_by_brute_force():
     model.bias = 0.25
     assert np.allclose(model.values(units), got @ alpha + 0.25, atol=1e-4)
     assert np.allclose(toxicity.Model.unpack(*model.pack()).values(units), model.values(units))
+
+
+def test_no_vector_comes_to_the_driver(spark, monkeypatch):
+    """The tree is fitted on projections that are made where the vectors are, of a sample drawn by a hash."""
+    frames, plain = [], type(spark.range(1)).toPandas
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda df: frames.append(out := plain(df)) or out)
+    monkeypatch.setattr(neighbours, "SAMPLE", 200)
+    df = spark.range(1000).selectExpr("id as vec_id", "transform(sequence(1, 16), k -> cast(hash(id, k) as double)) as embedding")
+    got = neighbours.neighbours(df, every=100, k=5)
+    assert got.count() == 50
+    assert [f.shape[1] for f in frames] == [neighbours.DIMS] and 100 < len(frames[0]) < 300
