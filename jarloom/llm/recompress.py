@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, back, dropped, hexdigest, mix, read, saved, small, union_length, with_keys, word_hashes
+from .common import U64, back, dropped, held, hexdigest, mix, read, small, union_length, with_keys, word_hashes
 from .repeats import NONE_HOT, Hot, Prefix, asked_of, compared, fetched, run_rows, runs, without
 
 WINDOW = 35
@@ -130,7 +130,7 @@ def word_runs(texts: list[bytes], width: int, hot: Hot = NONE_HOT):
 
 
 def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) -> DataFrame:
-    """docs (doc_id, text, ...) to doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the words that stay, joined by one space), saved in the shared folder.
+    """docs (doc_id, text, ...) to doc_id, n_words, n_removed, kept_sha256 and, if `texts`, kept (the words that stay, joined by one space), held by Spark's cache.
 
     A word goes if a window of `width` consecutive words that covers it has a word sequence that also starts anywhere else, in the same document or another. Words are
     separated by ASCII white space and unchanged; windows are judged on the input.
@@ -143,7 +143,7 @@ def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
     no rows. A group of copies costs in proportion to its size: no pairs are formed. Other columns are not read.
     """
     d = with_keys(docs)
-    x = compared(run_rows(d, lambda texts, hot: word_runs(texts, width, hot), every=True), "rec-rows")
+    x = compared(run_rows(d, lambda texts, hot: word_runs(texts, width, hot), every=True), "rec-rows", held)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -161,7 +161,7 @@ def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
 
     each = ask.mapInArrow(windows, "key long, fp long, _d long, _o long, i int, same boolean").withColumn("many", F.count("*").over(W.partitionBy("key", "fp"))).filter("many > 1 and not same")
     gone = x.filter("key is null or same").select("_d", "_o", F.col("i0").alias("a"), (F.col("i0") + F.col("n") + (width - 1)).alias("b")).unionByName(each.select("_d", "_o", F.col("i").alias("a"), (F.col("i") + width).alias("b")))
-    gone = saved(gone, "rec-gone", rows=512)
+    gone = held(gone, "rec-gone", rows=512)
     dropped(x)
 
     def cut(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple:
@@ -170,7 +170,7 @@ def repeated_words(docs: DataFrame, width: int = WINDOW, texts: bool = True) ->
         kept = b" ".join([words[k] for k in np.flatnonzero(~out)] if len(a) else words)
         return len(words), int(out.sum()), hexdigest(kept), *([kept.decode()] if texts else [])
 
-    return back(without(d, gone, cut, "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts))
+    return back(without(d, gone, cut, "n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts, held))
 
 
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

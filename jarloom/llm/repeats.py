@@ -149,7 +149,7 @@ def run_rows(d: DataFrame, cut: Callable, every: bool) -> DataFrame:
     return d.mapInArrow(run, ROWS)
 
 
-def compared(rows: DataFrame, name: str) -> DataFrame:
+def compared(rows: DataFrame, name: str, keep: Callable = saved) -> DataFrame:
     """Rows under keys of several rows, with same (another row covers equal text), first (the earliest of those) and mixed (the key has several texts); and the rows without a key."""
     rows = rows.withColumns({"deal": F.coalesce("key", F.xxhash64("_d", "_o", "i0")), "gone": F.col("key").isNull()})  # columns, or each window would shuffle anew
     key = W.partitionBy("deal", "gone")
@@ -158,7 +158,7 @@ def compared(rows: DataFrame, name: str) -> DataFrame:
     x = rows.withColumns({"before": equal(F.lag), "after": equal(F.lead)})
     x = x.withColumns({"rows": F.count("*").over(key), "mixed": (F.min("fp").over(key) != F.max("fp").over(key)) | (F.min("n").over(key) != F.max("n").over(key))})
     x = x.filter("rows > 1 or key is null").select("_d", "_o", "key", "i0", "n", "p", F.coalesce("mixed", F.lit(False)).alias("mixed"), "rows", (F.col("before") | F.col("after")).alias("same"), (~F.col("before")).alias("first"))
-    return saved(x, name, rows=512)
+    return keep(x, name, rows=512)
 
 
 def only(d: DataFrame, ids: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def asked_of(asked: pa.Scalar, at: int, most: int) -> dict[str, np.ndarray]:
     return {rows.type.field(k).name: rows.field(k).to_numpy(zero_copy_only=False) for k in range(rows.type.num_fields)}
 
 
-def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFrame:
+def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str, keep: Callable = saved) -> DataFrame:
     """cut(text, starts, ends) to a row, for each document with the intervals (a, b) of `gone` that are its own."""
     by = gone.groupBy("_d", "_o").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     names = [x.split()[0] for x in schema.split(", ")]
@@ -191,6 +191,6 @@ def without(d: DataFrame, gone: DataFrame, cut: Callable, schema: str) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in zip(*rows, strict=True))], ["_d", "_o", *names])
 
     x = d.join(by, ["_d", "_o"], "left").select("_d", "_o", "text", "a", "b")
-    out = saved(x.mapInArrow(run, f"_d long, _o long, {schema}"), "cut-out", rows=512)
+    out = keep(x.mapInArrow(run, f"_d long, _o long, {schema}"), "cut-out", rows=512)
     dropped(gone)
     return out

@@ -358,3 +358,17 @@ def test_no_vector_comes_to_the_driver(spark, monkeypatch):
     got = neighbours.neighbours(df, every=100, k=5)
     assert got.count() == 50
     assert [f.shape[1] for f in frames] == [neighbours.DIMS] and 100 < len(frames[0]) < 300
+
+
+def test_recompression_writes_no_tables(spark):
+    """Each file that an executor writes starts a process that counts as large as the executor: op4 keeps its tables in Spark's cache instead, and frees those that it is done with."""
+    from jarloom.llm import common
+
+    words = " ".join(map(str, range(40)))
+    docs = spark.createDataFrame([(1, f"a {words} b"), (2, f"c {words}"), (3, "x"), (4, None)], "doc_id long, text string")
+    spark.catalog.clearCache()
+    before, frames = set(common.TABLES), len(spark.sparkContext._jsc.getPersistentRDDs())
+    out = recompress.repeated_words(docs)
+    assert set(common.TABLES) == before
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= frames + 1
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out.collect()} == {1: (42, 40, "a b"), 2: (41, 40, "c"), 3: (1, 0, "x"), 4: (0, 0, "")}
