@@ -10,7 +10,7 @@ from ..functions import names
 from ..operators import evaluate
 from ..operators.similarity import exact_names, members, similarity, summaries, tie_flags, without_source
 from ..sources import archives, lists
-from ..sources.corpus import children, derived, file_records, parse_records, sig_records, tallies, with_tallies
+from ..sources.corpus import children, derived, file_records, lines_of, parse_records, sig_records, tallies, texts, with_tallies
 
 D = r"""docs AS (SELECT doc_id, lang, source, text, sha1(text) AS h FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT DISTINCT h, line FROM (SELECT h, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE line <> ''),
@@ -62,12 +62,14 @@ def table(name: str):
 
 def truth_list_lines(s, d) -> DataFrame:
     """A ground-truth list: for a subject itself, the greatest archive that has a line in common with it, an unknown one, or nothing."""
-    docs = table("documents")(s, d).filter("text is not null").select("doc_id", F.sha1("text").alias("h"), "text")
-    lines = docs.select("h", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter("line <> ''").select("h", F.unhex(F.sha1("line")).alias("line"))
-    near = lines.join(lines.groupBy("line").agg(F.max("h").alias("mx")), "line").groupBy("h").agg(F.max("mx").alias("other"))
+    docs = texts(s, d)
+    lines = lines_of(docs).select(F.unhex("h").alias("k"), F.unhex(F.md5("line")).alias("line"))
+    # the greatest is the archive itself unless a line has a greater one: few rows go on from here
+    near = lines.withColumn("mx", F.max("k").over(W.partitionBy("line"))).filter("mx > k").groupBy("k").agg(F.max("mx").alias("mx"))
     kind = F.when(F.col("doc_id") % 2 == 0, "jar-sha1").otherwise("CLASS-SHA1")
     given = F.when(F.col("doc_id") % 4 == 1, F.col("other")).when(F.col("doc_id") % 4 == 2, F.lit("unknown")).when(F.col("doc_id") % 4 == 3, F.lit("")).otherwise(F.col("h"))
-    x = docs.filter("doc_id % 9 <> 8").join(near, "h", "left").select(F.concat(kind, F.lit(";x;"), "h", F.lit(";"), F.coalesce(given, F.lit(""))).alias("value"))
+    x = docs.filter("doc_id % 9 <> 8").select("doc_id", "h", F.unhex("h").alias("k"), (F.translate("text", "\n", "") != "").alias("lined"))
+    x = x.join(near, "k", "left").withColumn("other", F.when(F.col("lined"), F.coalesce(F.lower(F.hex("mx")), "h"))).select(F.concat(kind, F.lit(";x;"), "h", F.lit(";"), F.coalesce(given, F.lit(""))).alias("value"))
     return x.unionByName(s.createDataFrame([("# a list",), ("",)], "value string"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import lzma
 
 import duckdb
@@ -188,6 +189,18 @@ def test_children_with_signatures_beside_them_give_the_same(spark, col):
     assert ("('c', 1, 2, 2, 1, 3," in "".join(rows)) == (col == "sigsha1re")
 
 
+def test_truth_moves_lines_once(spark, tmp_path):
+    """A line's archives are dealt out once, and only those that a greater one shares a line with are ranked among them."""
+    df = registry.truth_list_lines(spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in x for x in plan.split("\n")) == 1 and "Window" in plan
+    docs = [(1, "a\nb"), (5, "b\nc"), (13, "\n\n"), (21, ""), (25, "c"), (29, "lone"), (37, "lone")]
+    spark.createDataFrame([(k, "en", "s", t) for k, t in docs], "doc_id long, lang string, source string, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    h = {k: hashlib.sha1(t.encode()).hexdigest() for k, t in docs}
+    got = {r.value.split(";")[2]: r.value.split(";")[3] for r in registry.truth_list_lines(spark, str(tmp_path)).collect() if ";" in r.value}
+    assert got == {h[1]: max(h[1], h[5]), h[5]: max(h[1], h[5], h[25]), h[13]: "", h[21]: "", h[25]: max(h[5], h[25]), h[29]: h[29]}
+
+
 def test_lines_are_not_shuffled(spark):
     files, sigs = corpus.derived(spark, SF)
     plan = similarity.members(files, sigs, ".class")._jdf.queryExecution().optimizedPlan().toString()
