@@ -70,16 +70,17 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None, tasks: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and any executor can be lost. It stays until dropped(), released() or the end of the process.
 
-    rows bounds Arrow batches on the way: texts in a batch are held several times over, by the JVM outside its heap and by Python.
+    rows bounds Arrow batches on the way: texts in a batch are held several times over, by the JVM outside its heap and by Python. tasks bounds how many tasks write, and so the
+    files, for each of which Hadoop's local file system starts processes (see held()).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     TABLES[path] = spark
     with batches_of(spark, rows):
-        df.write.option("compression", compression).parquet(path)
+        (df.coalesce(tasks) if tasks else df).write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
@@ -212,18 +213,18 @@ def most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table.filter(F.lit(False) if least is None else step >= least)
 
 
-def components(links: DataFrame, name: str = "cc") -> DataFrame:
+def components(links: DataFrame, name: str = "cc", tasks: int | None = None) -> DataFrame:
     """links (a, b) to (id, comp, ...): the smallest id that links reach. Ids without links are not in it.
 
     Each round every id takes the least label around it and then that label's own label; tables go to the shared folder between rounds.
     """
-    both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), f"{name}-links")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{name}-0")
+    both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), f"{name}-links", tasks=tasks)
+    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{name}-0", tasks=tasks)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "id").select("id", F.least("comp", "m").alias("new"), "comp")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("top"))
-        after = saved(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("top", "new")).alias("comp"), F.col("comp").alias("was")), f"{name}-n")
+        after = saved(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("top", "new")).alias("comp"), F.col("comp").alias("was")), f"{name}-n", tasks=tasks)
         dropped(labels)
         if after.filter("comp <> was").isEmpty():
             dropped(both)

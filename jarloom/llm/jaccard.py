@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, components, dropped, mix, read, real, saved, small, with_keys, word_hashes
+from .common import U64, components, dropped, held, mix, read, real, saved, small, with_keys, word_hashes
 
 GRAM, PERCENT = 3, 90
 PARTS = 4  # fragments that a pair's overlap is counted in
 BUCKETS = 256  # of a set's sketch: how many of its shingles fall into each, modulo 256
 BLOCK = 1024  # members of a centre that are compared at once
 BROADCAST_ROWS = 400_000  # of three numbers: about 40 MB
+TASK_ROWS = 100_000  # of the first pass, for each task that writes a table made of them; LEAST_TASKS at least
+LEAST_TASKS = 12
 BOUNDS = [1]
 while BOUNDS[-1] < 2**40:
     BOUNDS.append(max(BOUNDS[-1] + 1, BOUNDS[-1] * 3 // 2))
@@ -155,7 +157,7 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return x.mapInArrow(run, "a long, b long")
 
 
-def members_near(members: DataFrame, percent: int) -> DataFrame:
+def members_near(members: DataFrame, percent: int, tasks: int) -> DataFrame:
     """members (centre, rid, n, comp, home, seg), home being the centre's component: pairs (a, b) of members of a centre that are in different components and that sizes
     and sketches leave. Members outside the centre's component are compared with all others, in blocks of BLOCK by BLOCK; only pairs that pass are rows.
     """
@@ -173,13 +175,13 @@ def members_near(members: DataFrame, percent: int) -> DataFrame:
 
     out = F.col("comp") != F.col("home")
     numbered = members.withColumn("block", F.floor((F.row_number().over(W.partitionBy("centre").orderBy((~out).cast("int"), "rid")) - 1) / BLOCK).cast("int"))
-    numbered = saved(numbered.withColumn("outside", out), "jac-members")
+    numbered = saved(numbered.withColumn("outside", out), "jac-members", tasks=tasks)
     many = numbered.groupBy("centre").agg(F.max(F.when(F.col("outside"), F.col("block"))).alias("lefts"), F.max("block").alias("rights"))
     x = numbered.join(many, "centre")
     left = x.filter("outside").withColumn("other", F.explode(F.expr("sequence(0, rights)"))).select("centre", F.col("block").alias("i"), F.col("other").alias("j"), "rid", "n", "comp", "seg")
     right = x.withColumn("other", F.explode(F.expr("sequence(0, lefts)"))).select("centre", F.col("other").alias("i"), F.col("block").alias("j"), "rid", "n", "comp", "seg")
     left, right = left.toDF("c", "i", "j", "rid", "n", "comp", "seg"), right.toDF("c2", "i2", "j2", "rid", "n", "comp", "seg")
-    out = saved(left.groupBy("c", "i", "j").cogroup(right.groupBy("c2", "i2", "j2")).applyInPandas(run, "a long, b long").distinct(), "jac-pairs")
+    out = saved(left.groupBy("c", "i", "j").cogroup(right.groupBy("c2", "i2", "j2")).applyInPandas(run, "a long, b long").distinct(), "jac-pairs", tasks=tasks)
     dropped(numbered)
     return out
 
@@ -195,7 +197,8 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     3. Two linked classes that are not yet in one component share a key, so both are members of its centre. Of a centre's members, those outside its component are held
        against the others by sketches that bound how much sets differ (members_near()); only pairs that can be linked are formed, and their overlaps are counted.
     Pairs inside a component need no test, so a group of copies costs in proportion to its size, and copies that have drifted apart are not all compared. Links go to
-    the shared folder, and components() follows them by labels in Spark.
+    the shared folder, and components() follows them by labels in Spark. The two tables that grow with the texts are held by executors (held()); the others are written
+    by as many tasks as their rows ask, not as the session has partitions.
 
     Rows that share a doc_id are documents of their own with that id. A null doc_id is returned as null and is no component's smallest, unless the component has no
     other (component_id is null then). Empty tables give no rows.
@@ -207,31 +210,33 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     deal = F.coalesce("key", F.xxhash64("_d", "_o"))
     key = W.partitionBy(deal, F.col("key").isNull())
     x = x.withColumns({"lo": F.min("cid").over(key), "hi": F.max("cid").over(key)}).filter("key is null or lo <> hi").drop("lo", "hi")
-    x = saved(x, "jac-first", rows=512)
+    x = held(x, "jac-first", rows=512)
+    tasks = max(LEAST_TASKS, x.count() // TASK_ROWS)
+    save = partial(saved, tasks=tasks)
     sets = x.filter("key is null").drop("key")
-    classes = saved(sets.groupBy("cid", "c2").agg(F.min(F.struct("_d", "_o")).alias("r"), F.first("n").alias("n")).select("cid", "c2", "r.*", "n").withColumn("rid", rid), "jac-classes")
-    groups = saved(x.filter("key is not null").select("key", "cid").distinct().join(classes.select("cid", "rid"), "cid").select("key", "rid"), "jac-groups")
+    classes = save(sets.groupBy("cid", "c2").agg(F.min(F.struct("_d", "_o")).alias("r"), F.first("n").alias("n")).select("cid", "c2", "r.*", "n").withColumn("rid", rid), "jac-classes")
+    groups = save(x.filter("key is not null").select("key", "cid").distinct().join(classes.select("cid", "rid"), "cid").select("key", "rid"), "jac-groups")
     need = groups.select("rid").distinct().join(classes.select("rid", "_d", "_o"), "rid")
-    every = segs = saved(segments(d, need, gram), "jac-segments", rows=512)
+    every = segs = held(segments(d, need, gram), "jac-segments", rows=512)
     least = W.partitionBy("key").orderBy("rid")
     star = groups.withColumn("a", F.first("rid").over(least)).filter("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-    star = saved(star, "jac-star")
+    star = save(star, "jac-star")
     sketches, segs = segs.filter("part = -1"), segs.filter("part >= 0")
-    near = saved(near_pairs(star, sketches, percent), "jac-near")
-    found = [saved(linked(overlaps(near, segs, percent), percent), "jac-links")]
+    near = save(near_pairs(star, sketches, percent), "jac-near")
+    found = [save(linked(overlaps(near, segs, percent), percent), "jac-links")]
 
     def placed(x: DataFrame, of: str, name: str) -> DataFrame:
         return x.join(comps.select(F.col("id").alias(of), F.col("comp").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    comps = components(found[0], "jac-comp")
+    comps = components(found[0], "jac-comp", tasks)
     apart = placed(placed(star, "a", "home"), "b", "comp").select(F.col("a").alias("centre"), F.col("b").alias("rid"), "home", "comp")
     open_ = apart.groupBy("centre").agg(F.max(F.col("comp") != F.col("home")).alias("apart"), F.count("*").alias("m")).filter("apart and m > 1").select("centre")
     members = apart.join(open_, "centre", "left_semi").join(sketches.select("rid", "n", "seg"), "rid")
-    pairs = members_near(members, percent)
+    pairs = members_near(members, percent, tasks)
     dropped(comps)
     if not pairs.isEmpty():
-        found.append(saved(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
-    comps = components(reduce(DataFrame.union, found), "jac-comp")
+        found.append(save(linked(overlaps(pairs, segs, percent), percent), "jac-links"))
+    comps = components(reduce(DataFrame.union, found), "jac-comp", tasks)
     dropped(groups, star, near, every, pairs, *found)
     # the smallest doc_id of a component, over all documents of its classes
     own = sets.join(classes.select("cid", "c2", "rid"), ["cid", "c2"]).join(comps.select(F.col("id").alias("rid"), "comp"), "rid", "left")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jarloom.llm import chat, jaccard, lattice, mixing, neighbours, packing, recompress, repeats, suffixes, toxicity
+from jarloom.llm import chat, common, jaccard, lattice, mixing, neighbours, packing, recompress, repeats, suffixes, toxicity
 from jarloom.llm.decontaminate import decontaminate
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, text2 string, score string, a long"
@@ -112,6 +112,21 @@ def test_jaccard(spark):
     assert got == {i: (len(s), top[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_files(spark, monkeypatch):
+    """However many partitions the session has, a table is written by few tasks: for each file Hadoop's local file system starts processes."""
+    files, settings = [], {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(common, "delete", lambda path: files.append(len(spark.read.parquet(path).inputFiles())))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert jaccard.jaccard_components(frame(spark, copies(5, 60))).count() == len(copies(5, 60))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files and max(files) <= 12
+
+
 def test_packing(spark):
     enc, texts = packing.encoder(packing.tokenizer_file()), [None, "", "Don't. stop,now 3.14 ...!!", "É T̈ <|endoftext|> x", "ABC's b c"]
     got = {r.doc_id: r for r in packing.unpacked(packing.pack_tokens(frame(spark, texts), packing.tokenizer_file())).collect()}
