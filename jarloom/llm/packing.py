@@ -79,15 +79,35 @@ class Record:
         return np.concatenate([self.block(k) for k in range(first, last + 1)])[a - first * BLOCK_IDS : b - first * BLOCK_IDS]
 
 
-#: In texts without any of this (marks side by side, so also special tokens' strings; characters other than ASCII and the letters from U+00C0 to U+00FF), the ids stay
-#: the same if A-Z are lower-cased and full stops and commas are words of their own, as the pre-tokenizer has it. That makes for far fewer different words.
-UNSAFE = re.compile(rb"[^\sA-Za-z0-9\x80-\xff]{2}|[\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+MARK, FAR = b"!\xff"
+#: Bytes of ASCII marks as MARK; those of characters other than ASCII and U+00C0 to U+00FF as FAR, but for the second ones; others as a space.
+KIND = bytes(32 if chr(b).isalnum() and b < 128 or b in b" \t\n\r\v\f" or 128 <= b < 192 or b == 0xC3 else MARK if b < 128 else FAR for b in range(256))
+RUN = re.compile(rb"(?<=[A-Za-z0-9\x80-\xff])(?=[!-/:-@\[-`{-~])")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Words that are encoded one by one to the ids of the text.
+
+    In texts of ASCII and the letters from U+00C0 to U+00FF without special tokens' strings, the ids stay the same if A-Z are lower-cased and marks that follow a letter or
+    digit begin a word of their own, as the pre-tokenizer has it (of marks that don't stand side by side, this is done for full stops and commas). That makes for far fewer
+    different words.
+    """
+    kind = text.translate(KIND)
+    if FAR in kind or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return text.split()
+    if b"!!" not in kind:
+        return text.lower().replace(b".", b" .").replace(b",", b" ,").split()
+    return text.split() if b"<|" in text else RUN.sub(b" ", text.lower()).split()
 
 
 class Encoder:
-    """A tokenizer whose normalizer and pre-tokenizer never look across ASCII white space, so that words can be encoded once each and remembered."""
+    """A tokenizer whose normalizer and pre-tokenizer never look across ASCII white space, so that words can be encoded once each and remembered.
+
+    New words are encoded together, with a special token between them (mark), if that gives the ids that they have alone.
+    """
 
     MOST = 1_000_000
+    JOINED = 256
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,6 +115,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        self.mark = None
+        for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items()):
+            if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip):
+                self.mark = k, t.content.encode()
+                some = [b"ab", b"C1", b"it's", "\u00e9.".encode()]
+                ids, length = self.encoded(some)
+                if [x.tolist() for x in np.split(ids, np.cumsum(length)[:-1])] == [self.alone(w) for w in some]:
+                    break
+                self.mark = None
         self.clear()
 
     def clear(self) -> None:
@@ -102,22 +131,42 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
+    def alone(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        n = self.JOINED if self.mark else 1
+        number, mark = self.mark or (-1, b"")
+        groups = [words[k : k + n] for k in range(0, len(words), n)]
+        ids, length = [], []
+        for g, enc in zip(groups, self.tokenizer.encode_batch_fast([mark.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            x = np.array(enc.ids, np.uint32)
+            ends = np.flatnonzero(x == number) if self.mark else np.zeros(0, np.int64)
+            if len(ends) == len(g) - 1:
+                ids.append(x[x != number] if len(ends) else x)
+                length.append(np.diff(ends, prepend=-1, append=len(x)) - 1)
+            else:  # a word holds the mark
+                each = [self.alone(w) for w in g]
+                ids.append(np.array([i for e in each for i in e], np.uint32))
+                length.append(np.array(list(map(len, each)), np.int64))
+        return np.concatenate(ids), np.concatenate(length)
+
     def learn(self, words: list[bytes], index: dict[bytes, int]) -> None:
-        k = len(self.index)
-        for enc, w in zip(self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            ids = enc.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
-            if k >= len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            index[w], self.start[k], self.length[k] = k, self.used, len(ids)
-            self.used += len(ids)
-            k += 1
+        k, n = len(self.index), len(words)
+        ids, length = self.encoded(words)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
+        if k + n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(len(x) + n, x.dtype)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k : k + n], self.length[k : k + n] = self.used + np.cumsum(length) - length, length
+        index.update(zip(words, range(k, k + n), strict=True))
+        self.used += len(ids)
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, `end` after each, and how many each text has. Words beyond the bound are encoded again each time."""
-        words = [(t if UNSAFE.search(t) else t.lower().replace(b".", b" .").replace(b",", b" ,")).split() for t in texts]
+        words = list(map(words_of, texts))
         many = np.fromiter(map(len, words), np.int64, len(words))
         every = [w for ws in words for w in ws]
         got = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))

@@ -137,6 +137,19 @@ def test_packing(spark):
         start += len(ids)
 
 
+def test_encoder_words():
+    """Marks in a row leave the words beside them as they are elsewhere, and words encoded together have the ids that they have alone, special tokens' strings among them."""
+    enc = packing.Encoder(packing.tokenizer_file())
+    assert enc.mark
+    ids = lambda t: [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    texts = ["été*** was&&& été Was!!", "was... it's!?", "<|STARTOFTEXT|> a<|startoftext|>b c** <|endoftext|>", "a** ×b", "", "é** e\u0301** x\x01!! y"]
+    got, n = enc([t.encode() for t in texts[:2]], 1)
+    assert got.tolist() == ids(texts[0]) + ids(texts[1])
+    assert set(enc.index) == {w.encode() for w in ("été", "***", "was", "&&&", "!!", "...", "it", "'s", "!?")}
+    got, n = enc([t.encode() for t in texts], 1)
+    assert [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])] == list(map(ids, texts))
+
+
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17])
 def test_bits(bits):
     x = np.random.default_rng(0).integers(0, 2**bits, 150_003, dtype=np.uint64).astype(np.uint32)
